@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: The white-space class used for all character counts and trims (Java regex syntax).
-WS = r"[\t-\r    -     　﻿]"
+WS = r"[\t-\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
 
 
 def body_chars(x: Column) -> Column:
@@ -23,7 +23,7 @@ def clean_ref(x: Column) -> Column:
 def moment(x: Column) -> Column:
     """Time of either stored text format as timestamp without zone; anything else is null."""
     t = F.regexp_replace(F.regexp_replace(F.trim(x), "T", " "), "Z$", "")
-    return F.expr("null") if x is None else t.try_cast("timestamp_ntz")
+    return t.try_cast("timestamp_ntz")
 
 
 def address_array(address: Column) -> Column:
