@@ -104,15 +104,15 @@ cases AS (
 _REFS = f"""
 WITH RECURSIVE {_LIVE},
 refs AS (
-  SELECT 'source_spans' AS ref_table, CAST(id AS varchar) AS ref_id, 'node_id' AS ref_field, 'node' AS kind, {_REF.format("node_id")} AS target_id, created_at AS at FROM source_spans
+  SELECT 'source_spans' AS ref_table, CAST(id AS varchar) AS ref_id, 'node_id' AS ref_field, 'node' AS kind, {_REF.format("node_id")} AS target_id, created_at AS seen FROM source_spans
   UNION ALL SELECT 'axiom_refs', id, 'node_id', 'node', {_REF.format("node_id")}, requested_at FROM axiom_refs
   UNION ALL SELECT 'axiom_refs', id, 'axiom_id', 'axiom', {_REF.format("axiom_id")}, requested_at FROM axiom_refs),
-one AS (SELECT ref_table, ref_id, ref_field, kind, target_id, min(at) AS at FROM refs WHERE target_id IS NOT NULL AND ref_id IS NOT NULL GROUP BY ALL),
+one AS (SELECT ref_table, ref_id, ref_field, kind, target_id, min(seen) AS seen FROM refs WHERE target_id IS NOT NULL AND ref_id IS NOT NULL GROUP BY ALL),
 hung AS (
   SELECT id, parent_id, 0 AS hops FROM ln WHERE parent_id IS NOT NULL AND parent_id NOT IN (SELECT id FROM ln)
   UNION ALL SELECT ln.id, ln.parent_id, hops + 1 FROM ln JOIN hung ON ln.parent_id = hung.id),
 cascade AS (
-  SELECT ref_table, ref_id, ref_field, target_id, strftime(at, '%Y-%m') AS month,
+  SELECT ref_table, ref_id, ref_field, target_id, strftime(seen, '%Y-%m') AS month,
          CASE WHEN live.id IS NULL THEN 'direct' ELSE 'inherited' END AS orphan_kind,
          CASE WHEN live.id IS NULL THEN 0 ELSE hops + 1 END AS hops
   FROM one LEFT JOIN live ON live.kind = one.kind AND live.id = target_id LEFT JOIN hung ON one.kind = 'node' AND hung.id = live.id
