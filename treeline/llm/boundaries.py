@@ -20,17 +20,17 @@ CONTINUES = set(",;:、，；：،؛·)]}）】」』”»%=&/|" + ASCII_MARKS +
 
 _FORMULA = re.compile(r"\$\$.*?\$\$", re.S)
 _LINE = re.compile(r"[^\n]*\n?")
-_HEAD = re.compile(r"[ \t　]*#{1,6}(?:[ \t　]+|$|(?=[^\s#]))")
-_LIST = re.compile(r"[ \t　]*(?:[-*]|\d{1,9}\.)[ \t　]+")
-_SPEAKER = re.compile(r"\s*[^\s:：.!?。！？][^:：\n.!?。！？]{0,60}?[:：]\s*")
+HEAD = re.compile(r"[ \t\u3000]*#{1,6}(?:[ \t\u3000]+|$|(?=[^\s#]))")
+LIST = re.compile(r"[ \t\u3000]*(?:[-*]|\d{1,9}\.)[ \t\u3000]+")
+SPEAKER = re.compile(r"\s*[^\s:：.!?。！？][^:：\n.!?。！？]{0,60}?[:：]\s*")
 _GUARD = re.compile(r"`[^`\n]+`|\$(?!\s)[^$\n]{1,200}(?<!\s)\$")
 _QUOTES = re.compile("[" + re.escape("".join(PAIRS) + "".join(PAIRS.values())) + "]")
-_MARKS = re.compile(f"[{re.escape(ASCII_MARKS + WIDE_MARKS)}]+(?:[   ]*[{re.escape(ASCII_MARKS + WIDE_MARKS)}]+)*")
+_MARKS = re.compile(f"[{re.escape(ASCII_MARKS + WIDE_MARKS)}]+(?:[ \u00a0\u202f]*[{re.escape(ASCII_MARKS + WIDE_MARKS)}]+)*")
 _THAI_GAP = re.compile(r"(?<=[฀-๿])\s+(?=[฀-๿])")
 _AFTER = re.compile(f"(?:\\s*[{EMOJI}]+)+")
 _CJK = re.compile("[぀-ヿ㐀-鿿豈-﫿＀-￯]")
 _DIGITS = re.compile(r"\d+")
-_WS = " \t\r\n 　\x0b\x0c   ﻿             \x85\x1c\x1d\x1e\x1f"
+_WS = " \t\r\n\u00a0\u3000\x0b\x0c\u2028\u2029\u202f\ufeff\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u205f\x85\x1c\x1d\x1e\x1f"
 
 
 class Gap(NamedTuple):
@@ -72,10 +72,10 @@ def units(text: str, chat: bool, lines: bool = False) -> list[tuple[int, int, in
                 continue
             mark = None
             if chat:
-                mark = _SPEAKER.match(line)
+                mark = SPEAKER.match(line)
                 body = s + (mark.end() if mark else 0)
             else:
-                mark = _HEAD.match(line) or _LIST.match(line)
+                mark = HEAD.match(line) or LIST.match(line)
                 body = s + (mark.end() if mark else 0)
             if chat or mark or lines:
                 if begun is not None:
@@ -190,7 +190,7 @@ def gaps(text: str, a: int, b: int, body: int, ascii_marks: bool = True) -> tupl
         while True:  # closers and emoji after the mark
             g = e
             k = e
-            while k < len(unit) and unit[k] in "   ":
+            while k < len(unit) and unit[k] in " \u00a0\u202f":
                 k += 1
             if k in closes and (k == e or unit[k] == "»") and closes[k] < s:
                 e = k + 1
@@ -214,8 +214,8 @@ def gaps(text: str, a: int, b: int, body: int, ascii_marks: bool = True) -> tupl
         n = g
         while n < len(unit) and (unit[n] in _WS or unit[n].isspace()):
             n += 1
-        kind = "…" if all(c in ".…‥   " for c in marks) and (len(marks) > 1 or marks in "…‥") else next((c for c in marks if c in "!?！？؟"), marks.strip()[:1])
-        left = unit[max(begin, s - 48) : s].rstrip("   ") if s > begin else ""
+        kind = "…" if all(c in ".…‥ \u00a0\u202f" for c in marks) and (len(marks) > 1 or marks in "…‥") else next((c for c in marks if c in "!?！？؟"), marks.strip()[:1])
+        left = unit[max(begin, s - 48) : s].rstrip(" \u00a0\u202f") if s > begin else ""
         if not left and n < len(unit) and n == e:
             continue
         if _CJK.match(left[-1:] or " ") or (left and not closer and left[-1:] in "”」』）》】"):

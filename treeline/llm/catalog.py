@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from treeline.llm.abuse import score_documents, source_rates
+from treeline.llm.mixing import mix
+from treeline.llm.packing import fill_report, pack
 from treeline.llm.pieces import split_items
 from treeline.llm.sentences import sentences, train
-from treeline.plans.session import spread, table
+from treeline.llm.tokens import token_counts
+from treeline.plans.session import materialize, spread, table
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,5 +36,39 @@ def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_items(table(spark, sf_dir, "import_nodes"), table(spark, sf_dir, "import_limits"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_sentences, p5_found, p5_pieces)}
+def p6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(token_counts(table(spark, sf_dir, "documents")), table(spark, sf_dir, "pack_limits"))
+
+
+def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_report(p6_packing(spark, sf_dir))
+
+
+def p7_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]
+
+
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_scores(spark, sf_dir).where("flagged").select("doc_id")
+
+
+def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "review_labels"))
+
+
+def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = materialize(p8_scores(spark, sf_dir), "scores")
+    return source_rates(table(spark, sf_dir, "documents"), scored)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        p3_found, p3_sentences, p5_found, p5_pieces, p6_packing, p6_report, p7_selection, p7_report, p8_found, p8_scores, p8_rates,
+    )
+}
 ORACLE: dict[str, str] = {}

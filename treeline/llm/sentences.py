@@ -35,7 +35,8 @@ SLACK = 2.0
 _COUNTS = "l0 string, l1 string, l2 string, r1 string, r2 string, first int, n long"
 
 
-def _is_chat(kind: object) -> bool:
+def is_chat(kind: object) -> bool:
+    """Whether a source_type means turns."""
     return isinstance(kind, str) and kind.strip().lower() == "chat"
 
 
@@ -59,7 +60,7 @@ def ngram_counts(docs: DataFrame) -> DataFrame:
             c: Counter = Counter()
             for text, kind in zip(pdf["text"], pdf["source_type"]):
                 if text:
-                    _count(text, _is_chat(kind), c)
+                    _count(text, is_chat(kind), c)
             yield pd.DataFrame([(*k, n) for k, n in c.items()], columns=["l0", "l1", "l2", "r1", "r2", "first", "n"])
 
     counted = docs.select("text", "source_type").mapInPandas(run, _COUNTS)
@@ -264,7 +265,7 @@ def sentences(docs: DataFrame, model: Model | None = None, ascii_marks: bool = T
             rows: list[tuple] = []
             for doc, text, kind in zip(pdf["doc_id"], pdf["text"], pdf["source_type"]):
                 if text:
-                    for i, (s, e) in enumerate(split(text, _is_chat(kind), m, ascii_marks), 1):
+                    for i, (s, e) in enumerate(split(text, is_chat(kind), m, ascii_marks), 1):
                         rows.append((doc, i, s, e, text[s:e] if with_text else None))
                 if len(rows) > 20_000:
                     yield pd.DataFrame(rows, columns=["doc_id", "sentence_index", "start_offset", "end_offset", "text"])
