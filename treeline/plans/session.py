@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +31,20 @@ def local_session(cores: str = "*", **conf: str) -> SparkSession:
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the workers once per application, so that queries run from any working directory."""
+    sc = spark.sparkContext
+    if getattr(sc, "_treeline_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    to = Path(tempfile.mkdtemp(prefix="treeline-")) / "treeline_package.zip"
+    with zipfile.ZipFile(to, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    sc.addPyFile(str(to))
+    sc._treeline_shipped = True
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """Folder shared by all executors: ``spark.checkpoint.dir`` where set, else a local one (tests only)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
