@@ -24,6 +24,7 @@ from treeline.plans.skew import prefix_sums
 
 NEWTON_ROUNDS = 40
 HEADROOM = 0.995
+LEVELS = (0.05, 0.005, 0.0)
 
 
 def distinct_texts(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
@@ -58,18 +59,54 @@ def solve(sizes: DataFrame, goals: dict[str, tuple[int, float, float]]) -> dict[
         worst = 0.0
         for s, f, d in got:
             miss = goals[s][1] - f
-            worst = max(worst, abs(miss) / max(goals[s][1], 1.0))
+            if high[s] - low[s] > 1e-2:  # a goal out of reach ends at the edge
+                worst = max(worst, abs(miss) / max(goals[s][1], 1.0))
             if miss > 0:
                 low[s] = lam[s]
             else:
                 high[s] = lam[s]
             step = lam[s] + miss / d if d > 0 else math.inf
             lam[s] = step if low[s] < step < high[s] else (low[s] + high[s]) / 2
-        if worst < 1e-6:
+        if worst < 1e-4:
             break
     return lam
 
 
+def chosen_copies(texts: DataFrame, sizes: DataFrame, goals: dict[str, tuple[int, float, float]]) -> DataFrame:
+    """Rates and their rounding, large texts first: of each source the texts above a share of its goal are rounded, then the
+    rates of the smaller ones are balanced again to what is left, so a miss is about half a text of the last level."""
+    spark = texts.sparkSession
+    schema = "source string, m double, mean double, lam double, over double, upto double"
+    limit = dict.fromkeys(goals, math.inf)
+    wanted, parts = dict(goals), []
+    for share in LEVELS:
+        upto = spark.createDataFrame([(s, limit[s]) for s in wanted], "source string, upto double")
+        lam = solve(sizes.join(F.broadcast(upto), "source").where("n_tokens <= upto").drop("upto"), wanted) if wanted else {}
+        over = {s: share * goals[s][1] for s in wanted}
+        table = spark.createDataFrame([(s, float(m), mean, lam[s], over[s], limit[s]) for s, (m, _, mean) in wanted.items()], schema)
+        rated = texts.join(F.broadcast(table), "source").where("n_tokens > over and n_tokens <= upto").withColumn(
+            "rate", F.col("m") / (1 + F.exp(-F.col("lam") * F.col("n_tokens") / F.col("mean")))
+        )
+        whole = F.floor("rate")
+        part = rated.select(
+            "doc_id", "source", "n_tokens", whole.alias("whole"), F.round((F.col("rate") - whole) * (1 << 30)).cast("long").alias("frac")
+        )
+        order = [F.col("n_tokens").desc(), F.xxhash64("doc_id"), F.col("doc_id")]
+        summed = prefix_sums(part, "source", order, {"before": F.col("frac")})
+        half, one = F.lit(1 << 29), F.lit(1 << 30)
+        extra = F.floor((F.col("before") + F.col("frac") + half) / one) - F.floor((F.col("before") + half) / one)
+        copies = summed.withColumn("copies", (F.col("whole") + extra).cast("int")).where("copies > 0")
+        done = materialize(copies.select("doc_id", "source", "n_tokens", "copies"), "copies")
+        parts.append(done)
+        got = {r[0]: r[1] for r in done.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies"))).collect()}
+        wanted = {s: (m, t - got.get(s, 0), mean) for s, (m, t, mean) in wanted.items() if t - got.get(s, 0) > 0}
+        limit = over
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def plan(sizes: DataFrame, targets: DataFrame, total_tokens: float | None = None) -> tuple[list[dict], dict]:
     """Targets of every listed source and the goals of those that take part and have texts. ``targets`` is a small fixed table."""
     have = {r.source: (r.tokens, r.texts) for r in sizes.groupBy("source").agg(F.sum(F.col("n") * F.col("n_tokens")).alias("tokens"), F.sum("n").alias("texts")).join(F.broadcast(targets.select(source_name(F.col("source")).alias("source")).distinct()), "source").collect()}
@@ -99,26 +136,12 @@ def mix(docs: DataFrame, targets: DataFrame, total_tokens: float | None = None,
     texts = materialize(distinct_texts(docs, tokenizer), "texts")
     sizes = materialize(texts.groupBy("source", "n_tokens").agg(F.count(F.lit(1)).alias("n")), "sizes")
     listed, goals = plan(sizes, targets, total_tokens)
-    lam = solve(sizes, goals) if goals else {}
-    spark = docs.sparkSession
-    table = spark.createDataFrame(
-        [(s, float(m), float(mean), lam[s]) for s, (m, _, mean) in goals.items()], "source string, m double, mean double, lam double"
-    )
-    rated = texts.join(F.broadcast(table), "source").withColumn(
-        "rate", F.col("m") / (1 + F.exp(-F.col("lam") * F.col("n_tokens") / F.col("mean")))
-    )
-    part = rated.withColumns({"whole": F.floor("rate"), "frac": F.round((F.col("rate") - F.floor("rate")) * (1 << 30)).cast("long")})
-    order = [F.col("n_tokens"), F.xxhash64("doc_id"), F.col("doc_id")]
-    summed = prefix_sums(part.select("doc_id", "source", "n_tokens", "whole", "frac"), "source", order, {"before": F.col("frac")})
-    half, one = F.lit(1 << 29), F.lit(1 << 30)
-    extra = F.floor((F.col("before") + F.col("frac") + half) / one) - F.floor((F.col("before") + half) / one)
-    chosen = summed.withColumn("copies", (F.col("whole") + extra).cast("int")).where("copies > 0").select("doc_id", "source", "n_tokens", "copies")
-    chosen = materialize(chosen, "chosen")
+    chosen = chosen_copies(texts, sizes, goals)
     per = chosen.groupBy("source").agg(
         F.sum(F.col("n_tokens") * F.col("copies")).alias("n_tokens"), F.count(F.lit(1)).alias("n_texts"), F.max("copies").alias("most_copies")
     )
     total = per.agg(F.sum("n_tokens")).first()[0] or 0
-    goal = spark.createDataFrame(listed, "source string, target_share double, reachable_share double, max_repeats int")
+    goal = docs.sparkSession.createDataFrame(listed, "source string, target_share double, reachable_share double, max_repeats int")
     report = goal.join(per, "source", "left").select(
         "source", "target_share", "reachable_share", (F.coalesce("n_tokens", F.lit(0)) / F.lit(float(max(total, 1)))).alias("actual_share"),
         F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"), F.coalesce("n_texts", F.lit(0)).alias("n_texts"), F.coalesce("most_copies", F.lit(0)).alias("most_copies"), "max_repeats",
