@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from treeline.plans import training
+from treeline.plans import reads, training
 
-_MODULES = (training,)
+_MODULES = (training, reads)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLE = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}
