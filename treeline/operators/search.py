@@ -88,29 +88,28 @@ def substring_rank(nodes: DataFrame, needle: str, limit: int) -> DataFrame:
     return nodes.where(hit).select("doc_id", "id", "address", "depth", rank.alias("rank")).orderBy("rank", "depth", "address", "id").limit(limit)
 
 
-def grams(text: Column, n: int = 2) -> Column:
-    """Character n-grams of the lower-case text without white space."""
-    t = F.regexp_replace(F.lower(text), r"\s+", "")
-    return F.when(F.length(t) >= n, F.transform(F.sequence(F.lit(1), F.length(t) - n + 1), lambda i: F.substring(t, i, F.lit(n)))).otherwise(F.array(t))
-
-
 def bm25(nodes: DataFrame, query: str, n: int = 2, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """BM25 over character n-grams: id, score. Statistics are those of all rows."""
-    wanted = sorted({query.lower().replace(" ", "")[i : i + n] for i in range(max(1, len(query.replace(" ", "")) - n + 1))})
-    docs = nodes.where(F.length("text") > 0).select("id", grams(F.col("text"), n).alias("g"))
-    sized = docs.select("id", F.size("g").alias("dl"), *[F.size(F.filter("g", _same(w))).alias(f"t{i}") for i, w in enumerate(wanted)])
+    """BM25 over character n-grams of the lower-case text without white space: id, score. Statistics are those of all rows.
+
+    Only the query's n-grams are counted (in place, by expressions); a row's length is its number of n-grams.
+    """
+    bare = query.lower().replace(" ", "")
+    wanted = sorted({bare[i : i + n] for i in range(max(1, len(bare) - n + 1))})
+    t = F.regexp_replace(F.lower("text"), r"\s+", "")
+    docs = nodes.where(F.length("text") > 0).select("id", t.alias("t"))
+    counts = [(occurrences if len(set(w)) == len(w) else overlapping)(F.col("t"), w).alias(f"t{i}") for i, w in enumerate(wanted)]
+    sized = docs.select("id", F.greatest(F.length("t") - (n - 1), F.lit(1)).alias("dl"), *counts)
     stats = sized.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *[F.sum((F.col(f"t{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(wanted))])
-    joined = sized.crossJoin(F.broadcast(stats))  # one row of statistics
+    hit = F.col("t0") > 0
+    for i in range(1, len(wanted)):
+        hit = hit | (F.col(f"t{i}") > 0)
+    joined = sized.where(hit).crossJoin(F.broadcast(stats))  # one row of statistics
     score = F.lit(0.0)
     for i in range(len(wanted)):
         idf = F.log(1 + (F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5))
         tf = F.col(f"t{i}")
         score = score + idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return joined.select("id", score.alias("score")).where("score > 0")
-
-
-def _same(w: str):
-    return lambda x: x == w
+    return joined.select("id", score.alias("score"))
 
 
 def vector_top_k(vectors: DataFrame, query: list[float], k: int) -> DataFrame:
