@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from treeline.plans import reads, retrieval, training
+from treeline.plans import history, reads, retrieval, training
 
-_MODULES = (training, reads, retrieval)
+_MODULES = (training, reads, retrieval, history)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLE = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}
