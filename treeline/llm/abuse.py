@@ -123,7 +123,7 @@ def learned_features(weights: np.ndarray) -> list[float]:
 
 def log_odds(bad: np.ndarray, ok: np.ndarray, n_bad: float, n_ok: float) -> np.ndarray:
     """Smoothed log odds per token from document frequencies; 0 where it isn't clear."""
-    rate = n_bad / max(n_bad + n_ok, 1e-9)
+    rate = min(max(n_bad / max(n_bad + n_ok, 1e-9), 0.05), 0.95)
     w = np.log((bad + rate) / (n_bad + 1)) - np.log((ok + 1 - rate) / (n_ok + 1))
     w[(bad + ok < 2) | (np.abs(w) <= 0.7)] = 0
     if (w != 0).sum() > MAX_LEARNED:

@@ -57,10 +57,10 @@ LEET = str.maketrans("013457@$!", "oieastasi")
 
 _WORD = re.compile(r"[^\W_]+(?:[’'][^\W_]+)*", re.U)
 _INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u2060-\u2064\ufeff\u180e]")
-_SPLIT_LETTERS = re.compile(r"(?<![^\W_])(?:[^\W\d_][ .·•*_\-]){2,}[^\W\d_](?![^\W_])")
+_SPLIT_LETTERS = re.compile(r"(?<![^\W_])[^\W\d_]([ .·•*_\-])[^\W\d_](?:\1[^\W\d_])+(?![^\W_])")
 _INNER = re.compile(r"(?<=[^\W\d_])[\-·•‧](?=[^\W\d_])|(?<=[ऀ-ॿ฀-๿])[\-·•‧](?=[ऀ-ॿ฀-๿])|(?<=[ऀ-ॿ])[\-·•‧]")
 _MASKED = re.compile(r"(?<![^\W_])[^\W\d_]\*{2,}[^\W\d_]?(?![^\W_])|[^\W\d_]+\*+[^\W\d_]+")
-_LEETWORD = re.compile(r"(?<![\w.\-/=])(?=[^\s]*[a-zA-Z]{1})(?:[a-zA-Z]+[0134578@$][a-zA-Z0-9@$]*|[@$0134578]+[a-zA-Z]{2,}[a-zA-Z0-9@$]*)(?![\w.\-/=])")
+_LEETWORD = re.compile(r"(?<![\w.\-/=@$])(?=[A-Za-z0-9@$]*[A-Za-z])(?=[A-Za-z0-9@$]*[013457@$])[A-Za-z0-9@$]{3,14}(?![\w.\-/=])")
 _STRETCH = re.compile(r"([^\W\d_])\1{2,}")
 _LATIN, _CYR = re.compile("[a-zA-Z]"), re.compile("[Ͱ-ϿЀ-ӿ]")
 SPACELESS_CHAR = re.compile("[぀-ヿ㐀-鿿฀-๿]")
@@ -85,13 +85,15 @@ def plain(text: str) -> tuple[str, int]:
     def joined(m: re.Match) -> str:
         nonlocal n
         n += 1
-        return re.sub(r"[ .·•*_\-]", "", m.group())
+        letters = m.group()[::2]
+        article = m.group(1) == " " and letters[0] in "aAI" and len(letters) > 4  # "a h a l f w i t"
+        return f"{letters[0]} {letters[1:]}" if article else letters
     text = _SPLIT_LETTERS.sub(joined, text)
     if _LEETWORD.search(text):
         def unleet(m: re.Match) -> str:
             nonlocal n
             w = m.group()
-            if re.fullmatch(r"[A-Za-z]\d+", w) or re.fullmatch(r"[vV]\d.*", w) or len(w) > 14:
+            if re.fullmatch(r"[A-Za-z]{1,2}\d+|\d+[A-Za-z]{1,3}|[vV]\d.*", w):  # A7, 91ms, v2
                 return w
             n += 1
             return w.translate(LEET)

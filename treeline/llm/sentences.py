@@ -121,7 +121,7 @@ def _prior(l2: str, r2: str) -> float:
     elif kind == "…":
         base = 0.6
     else:
-        base = {"1": 0.1, "Ab": 0.35, "ab": 0.5, "d": 0.4, "0": 0.6}.get(shape, 0.9)
+        base = {"1": 0.1, "Ab": 0.35, "ab": 0.6, "d": 0.4, "0": 0.6}.get(shape, 0.9)
     if tail[1:2] == "q":
         base *= 0.15
     if r2.endswith("l"):
