@@ -30,18 +30,14 @@ def _shortest(a: str, b: str, most: int) -> list[Segment] | None:
     for edits in range(most + 1):
         for k in range(-edits, edits + 1, 2):
             down, right = reached.get(k + 1), reached.get(k - 1)
-            if edits == 0:
-                x, link = 0, None
-            elif right is None or (down is not None and right[0] < down[0]):
-                x = down[0]
-                if x - k - 1 >= len(b):
-                    continue
-                link = ("ins", b[x - k - 1], down[1])
-            else:
-                if right[0] >= len(a):
-                    continue
-                x = right[0] + 1
-                link = ("del", a[x - 1], right[1])
+            ways = [(0, None)] if not edits else []
+            if right is not None and right[0] < len(a):
+                ways.append((right[0] + 1, ("del", a[right[0]], right[1])))
+            if down is not None and down[0] - k - 1 < len(b):
+                ways.append((down[0], ("ins", b[down[0] - k - 1], down[1])))
+            if not ways:
+                continue
+            x, link = max(ways, key=lambda w: w[0])
             s = x
             while x < len(a) and x - k < len(b) and a[x] == b[x - k]:
                 x += 1
