@@ -53,21 +53,17 @@ def orphan_nodes(links: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     asked = links.where(F.col("parent_id").isNotNull()).select("id", "parent_id")
     met = materialize(lookup(asked, ids, "parent_id"), "met")
     edges = met.where("here").select("id", "parent_id")
-    rounds = [
-        materialize(
-            met.where(F.col("here").isNull()).select("id", F.lit("direct").alias("orphan_kind"), F.lit(0).alias("hops")),
-            "direct",
-        )
-    ]
+    # the found rows are few against the links they were filtered from: rebalance, else every scan task writes a file
+    first = met.where(F.col("here").isNull()).select("id", F.lit("direct").alias("orphan_kind"), F.lit(0).alias("hops"))
+    rounds = [materialize(first.hint("rebalance"), "direct")]
     found = rounds[0].count()
     for hop in range(1, max_rounds):
         if not found:
             break
         last = rounds[-1].select(F.col("id").alias("parent_id"))
         below = edges.join(last, "parent_id", "left_semi")
-        fresh = materialize(
-            below.select("id", F.lit("inherited").alias("orphan_kind"), F.lit(hop).alias("hops")), "below"
-        )
+        below = below.select("id", F.lit("inherited").alias("orphan_kind"), F.lit(hop).alias("hops"))
+        fresh = materialize(below.hint("rebalance"), "below")
         found = fresh.count()
         rounds.append(fresh)
     out = rounds[0]
@@ -86,7 +82,7 @@ def orphan_references(
     references are none; blanks and tabs around an id do not count. Empty tables give an empty result.
     """
     links = materialize(node_links(nodes, deletions), "live").select("id", "parent_id")
-    hung = materialize(orphan_nodes(links), "orphans")
+    hung = materialize(orphan_nodes(links).hint("rebalance"), "orphans")
     live_axioms = live_rows(axioms, deletions, "axiom", [])
     state = (
         links.select("id", F.lit("node").alias("target_kind"))
