@@ -12,6 +12,7 @@ import json
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 _OUT = "doc_id {id}, id string, parent_id string, sort_order int, address string, depth int, node_type string, text string, node_title string, node_note string, trust_level string"
 _FIELDS = ("node_type", "text", "node_title", "node_note", "trust_level")
@@ -182,3 +183,26 @@ def fold_axioms(axioms: DataFrame, ops: DataFrame) -> DataFrame:
     schema = f"doc_id {kind}, id string, label string, content string, status string"
     done = rows.join(touched, "doc_id", "left_semi").groupBy("doc_id").cogroup(ops.groupBy("doc_id")).applyInPandas(run, schema)
     return rows.join(touched, "doc_id", "left_anti").unionByName(done)
+
+
+def undone(ops: DataFrame, steps: int) -> DataFrame:
+    """The last ``steps`` active entries of every document marked 'undone'."""
+    order = Window.partitionBy("doc_id").orderBy(F.desc("rank_seq"))
+    active = F.coalesce("status", F.lit("active")) == "active"
+    ranked = ops.withColumn("rank_seq", F.when(active, F.col("seq"))).withColumn("back", F.row_number().over(order))
+    return ranked.withColumn("status", F.when(active & (F.col("back") <= steps), "undone").otherwise(F.coalesce("status", F.lit("active")))).drop("rank_seq", "back")
+
+
+def appended(ops: DataFrame, more: DataFrame) -> DataFrame:
+    """New entries behind a log: they come after all others, and undone entries of their documents are gone for good."""
+    last = ops.groupBy("doc_id").agg(F.max("seq").alias("last"))
+    order = Window.partitionBy("doc_id").orderBy("seq")
+    placed = more.join(last, "doc_id", "left").withColumn("seq", F.coalesce("last", F.lit(0)) + F.row_number().over(order)).drop("last")
+    touched = more.select("doc_id").distinct().withColumn("touched", F.lit(True))
+    kept = ops.join(touched, "doc_id", "left").where(F.col("touched").isNull() | (F.coalesce("status", F.lit("active")) == "active")).drop("touched")
+    return kept.unionByName(placed, allowMissingColumns=True)
+
+
+def picked(ops: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Entries of another branch (doc_id, seq) to carry over, in their order."""
+    return ops.join(wanted.select("doc_id", "seq").distinct(), ["doc_id", "seq"], "left_semi")

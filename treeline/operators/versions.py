@@ -242,3 +242,24 @@ def validate_ops(ops: DataFrame, trunk: DataFrame) -> DataFrame:
         .otherwise("ok")
     )
     return wide.select("id", "field", "old", "new", verdict.alias("verdict"))
+
+
+def diff_view(diff: DataFrame, places: DataFrame) -> DataFrame:
+    """Rows to show of a tree diff (id, status): changed rows and their ancestors one by one, runs of others folded.
+
+    ``places`` (doc_id, id, address, key) holds both sides' rows in document order. Result: doc_id, place, kind ('row' or 'fold'),
+    id (null for folds), status, n (rows in the fold, else 1).
+    """
+    rows = places.join(diff, "id")
+    changed = rows.where("status <> 'unchanged'")
+    parts = F.split("address", "-")
+    up = changed.select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "-"))).alias("address"))
+    shown = rows.join(up.distinct().withColumn("show", F.lit(True)), ["doc_id", "address"], "left")
+    order = Window.partitionBy("doc_id").orderBy("key", "id")
+    placed = shown.select("doc_id", "id", "status", F.coalesce("show", F.lit(False)).alias("show"), F.row_number().over(order).alias("place"))
+    run = F.sum(F.col("show").cast("int")).over(Window.partitionBy("doc_id").orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
+    marked = placed.withColumn("run", run)
+    folds = marked.where("not show").groupBy("doc_id", "run").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("n"))
+    return marked.where("show").select("doc_id", "place", F.lit("row").alias("kind"), "id", "status", F.lit(1).cast("long").alias("n")).unionByName(
+        folds.select("doc_id", "place", F.lit("fold").alias("kind"), F.lit(None).cast("string").alias("id"), F.lit("unchanged").alias("status"), "n")
+    )

@@ -200,3 +200,20 @@ def branch_validation(spark, sf):
         F.when(F.col("k") == 0, F.concat("text", F.lit("1"))).when(F.col("sort_order") % 8 == 0, F.col("text")).otherwise(F.concat("text", F.lit("12"))).alias("new"),
     )
     return V.validate_ops(o, n)
+
+
+@query("diff_view", f"""{_SIDES}, r AS (SELECT a.id, a.r AS ra, b.r AS rb FROM ({_RANK.format('base', 'ours')}) a JOIN ({_RANK.format('ours', 'base')}) b USING (id)),
+j AS (SELECT coalesce(a.id, b.id) AS id, CASE WHEN a.id IS NULL THEN 'added' WHEN b.id IS NULL THEN 'deleted' WHEN {_any('a', 'b')} OR ra <> rb AND a.parent_id IS NOT DISTINCT FROM b.parent_id THEN 'modified' ELSE 'unchanged' END AS status, coalesce(b.address, a.address) AS address FROM base a FULL JOIN ours b ON a.id = b.id LEFT JOIN r ON r.id = a.id),
+d AS (SELECT *, split_part(id, ':', 1) AS doc_id, array_to_string(list_transform(string_split(address, '-'), lambda x: lpad(x, 10, '0')), '-') AS key FROM j),
+up AS (SELECT DISTINCT doc_id, unnest(list_transform(generate_series(1, len(string_split(address, '-'))), lambda k: array_to_string(string_split(address, '-')[1:k], '-'))) AS address FROM d WHERE status <> 'unchanged'),
+s AS (SELECT d.*, up.address IS NOT NULL AS shown, row_number() OVER (PARTITION BY d.doc_id ORDER BY key, id) AS place FROM d LEFT JOIN up ON up.doc_id = d.doc_id AND up.address = d.address),
+mk AS (SELECT *, sum(CAST(shown AS int)) OVER (PARTITION BY doc_id ORDER BY place) AS run FROM s)
+SELECT doc_id, CAST(place AS int) AS place, 'row' AS kind, id, status, 1 AS n FROM mk WHERE shown UNION ALL SELECT doc_id, CAST(min(place) AS int), 'fold', NULL, 'unchanged', count(*) FROM mk WHERE NOT shown GROUP BY doc_id, run""")  # K9
+def diff_view(spark, sf):
+    from treeline.functions.columns import address_key
+
+    base, ours, _ = _sides(spark, sf)
+    both = base.select("id", F.col("address").alias("a")).join(ours.select("id", F.col("address").alias("b")), "id", "full")
+    address = F.coalesce("b", "a")
+    places = both.select(F.split("id", ":")[0].alias("doc_id"), "id", address.alias("address"), address_key(address).alias("key"))
+    return V.diff_view(V.tree_diff(base, ours).select("id", "status"), places)

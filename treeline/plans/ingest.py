@@ -32,7 +32,7 @@ def markdown_blocks(spark, sf):
 SELECT doc_id, level, trim(title) AS title, count(*) AS n FROM h GROUP BY ALL""")  # A6 A9
 def markdown_headings(spark, sf):
     b = markdown.block_rows(corpus_docs(spark, sf)).where("type = 'heading'")
-    return b.groupBy("doc_id", "level", F.trim("text").alias("title")).agg(F.count(F.lit(1)).alias("n"))
+    return b.groupBy("doc_id", F.col("level").cast("long").alias("level"), F.trim("text").alias("title")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("markdown_tree")  # A7 A17 A28
@@ -112,7 +112,7 @@ def long_nodes_for_vectors(spark, sf):
     return n.select("id", put.alias("input")).where(F.length("input") <= 2000)
 
 
-@query("stream_isomorphism", ", a AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY list_transform(string_split(address, '-'), lambda x: CAST(x AS int))) AS place, text FROM n) SELECT doc_id, count(*) AS n, 0 AS differing FROM a GROUP BY 1")  # P8
+@query("stream_isomorphism", ", a AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY list_transform(string_split(address, '-'), lambda x: CAST(x AS int))) AS place, text FROM n) SELECT doc_id, count(*) AS n, CAST(0 AS bigint) AS differing FROM a GROUP BY 1")  # P8
 def stream_isomorphism(spark, sf):
     from pyspark.sql.window import Window
 
@@ -129,4 +129,4 @@ def stream_isomorphism(spark, sf):
 
 @query("char_counts", "SELECT id, length(text) AS chars, " + "coalesce(length(regexp_replace(text, '[\\t-\\r \\x{00A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{FEFF}]', '', 'g')), 0) AS body_chars FROM n")  # H4 N
 def char_counts(spark, sf):
-    return corpus_nodes(spark, sf).select("id", F.length("text").alias("chars"), body_chars(F.col("text")).alias("body_chars"))
+    return corpus_nodes(spark, sf).select("id", F.length("text").cast("long").alias("chars"), body_chars(F.col("text")).cast("long").alias("body_chars"))

@@ -91,7 +91,7 @@ def coverage_gaps(spark, sf):
 
 @query("line_boxes", """WITH c AS (SELECT l_orderkey AS key, l_linenumber AS pos, l_linenumber * 10.0 AS x0, floor(l_linenumber / 3) * 20.0 + l_tax AS y0, l_linenumber * 10.0 + 9 AS x1, floor(l_linenumber / 3) * 20.0 + 10 + l_tax AS y1 FROM (SELECT l_orderkey, l_linenumber, min(l_tax) AS l_tax FROM lineitem GROUP BY ALL)),
 b AS (SELECT *, coalesce(CAST(abs((y0 + y1) / 2 - lag((y0 + y1) / 2) OVER w) > greatest(y1 - y0, lag(y1 - y0) OVER w) * 0.5 AS int), 0) AS brk FROM c WINDOW w AS (PARTITION BY key ORDER BY pos)),
-l AS (SELECT *, sum(brk) OVER (PARTITION BY key ORDER BY pos) AS line FROM b) SELECT key, CAST(line AS bigint) AS line, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM l GROUP BY key, line""")  # D22
+l AS (SELECT *, sum(brk) OVER (PARTITION BY key ORDER BY pos) AS line FROM b) SELECT key, CAST(line AS bigint) AS line, CAST(min(x0) AS double) AS x0, CAST(min(y0) AS double) AS y0, CAST(max(x1) AS double) AS x1, CAST(max(y1) AS double) AS y1 FROM l GROUP BY key, line""")  # D22
 def line_boxes(spark, sf):
     c = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("key"), F.col("l_linenumber").alias("pos")).agg(F.min("l_tax").alias("t"))
     row = F.floor(F.col("pos") / 3) * 20.0
@@ -221,3 +221,31 @@ def orphan_documents(spark, sf):
     if docs.isEmpty():
         raise RuntimeError("no documents known: nothing is called an orphan")
     return table(spark, sf, "source_spans").where("doc_id is not null").select("doc_id").distinct().join(docs, "doc_id", "left_anti")
+
+
+@query("branch_undo", """, e AS (SELECT doc_id, doc_id * 100000 + sort_order * 10 AS seq FROM n WHERE depth = 2 AND sort_order % 4 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY seq DESC) AS back FROM e)
+SELECT doc_id, seq, CASE WHEN back <= 2 THEN 'undone' ELSE 'active' END AS status FROM r""")  # K23
+def branch_undo(spark, sf):
+    ops = _ops(spark, sf).where("kind = 'node.update'")
+    return oplog.undone(ops, 2).select("doc_id", "seq", "status")
+
+
+@query("node_inspect", f"""{_SPANS}, x AS (SELECT DISTINCT id, nullif(trim(node_id, E' \\t'), '') AS node_id, nullif(trim(axiom_id, E' \\t'), '') AS axiom_id FROM axiom_refs), i AS (SELECT DISTINCT id FROM nodes WHERE id IS NOT NULL)
+SELECT i.id, count(DISTINCT s.id) AS n_spans, min(s.start_offset) AS first_offset, count(DISTINCT x.axiom_id) AS n_axioms FROM i LEFT JOIN s ON s.node_id = i.id LEFT JOIN x ON x.node_id = i.id GROUP BY 1""")  # J16
+def node_inspect(spark, sf):
+    ids = table(spark, sf, "nodes").where("id is not null").select("id").distinct()
+    spans = _spans(spark, sf).where("node_id is not null").groupBy(F.col("node_id").alias("id")).agg(F.count_distinct("id").alias("n_spans"), F.min("start_offset").alias("first_offset"))
+    axioms = table(spark, sf, "axiom_refs").select(clean_ref(F.col("node_id")).alias("id"), clean_ref(F.col("axiom_id")).alias("a")).where("id is not null").groupBy("id").agg(F.count_distinct("a").alias("n_axioms"))
+    met = ids.join(spans, "id", "left").join(axioms, "id", "left")
+    return met.select("id", F.coalesce("n_spans", F.lit(0)).alias("n_spans"), "first_offset", F.coalesce("n_axioms", F.lit(0)).alias("n_axioms"))
+
+
+@query("sentence_containers")  # A23
+def sentence_containers(spark, sf):
+    """Paragraph nodes of several sentences with one child node per sentence."""
+    from pyspark.sql.window import Window
+
+    texts = corpus_nodes(spark, sf).where("depth = 2").select("id", "text")
+    cut = span_rows(texts, "id", "text", ascii_marks=True)
+    many = F.count(F.lit(1)).over(Window.partitionBy("id"))
+    return cut.withColumn("n", many).where("n > 1").select(F.concat_ws("-", "id", F.col("sentence_index").cast("string")).alias("id"), F.col("id").alias("parent_id"), "text")

@@ -172,7 +172,7 @@ def axiom_next_label(spark, sf):
 
 @query("renumber", "SELECT id, row_number() OVER (PARTITION BY doc_id, parent_id ORDER BY sort_order NULLS LAST, id) AS ordinal FROM n")  # E1 E2 E9
 def renumber(spark, sf):
-    return T.renumber(_n(spark, sf))
+    return T.renumber(_n(spark, sf)).withColumn("ordinal", F.col("ordinal").cast("long"))
 
 
 @query("siblings", "SELECT id, lag(id) OVER w AS previous_id, lead(id) OVER w AS next_id FROM n WINDOW w AS (PARTITION BY doc_id, parent_id ORDER BY sort_order, id)")  # E4 E12 J15
@@ -187,7 +187,7 @@ def dfs_order(spark, sf):
 
 @query("children_page", ", r AS (SELECT parent_id, id, row_number() OVER (PARTITION BY parent_id ORDER BY sort_order, id) - 1 AS place FROM n WHERE parent_id IS NOT NULL) SELECT * FROM r WHERE place >= 2 AND place < 5")  # E3 J6
 def children_page(spark, sf):
-    return T.children_page(_n(spark, sf), 2, 3)
+    return T.children_page(_n(spark, sf), 2, 3).withColumn("place", F.col("place").cast("long"))
 
 
 _RUN = f"SELECT doc_id, id, text, coalesce(sum(length(text)) OVER (PARTITION BY doc_id ORDER BY {_KEY} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used_before FROM n WHERE depth > 1"
@@ -242,7 +242,7 @@ def single_child_chains(spark, sf):
 @query("source_order", "SELECT import_id, item_id, row_number() OVER (PARTITION BY import_id ORDER BY source_position NULLS LAST, item_id) AS place FROM (SELECT DISTINCT * FROM import_nodes)")  # F8 E10
 def source_order(spark, sf):
     w = Window.partitionBy("import_id").orderBy(F.col("source_position").asc_nulls_last(), "item_id")
-    return table(spark, sf, "import_nodes").distinct().select("import_id", "item_id", F.row_number().over(w).alias("place"))
+    return table(spark, sf, "import_nodes").distinct().select("import_id", "item_id", F.row_number().over(w).cast("long").alias("place"))
 
 
 @query("address_sorted_load", """WITH d AS (SELECT DISTINCT import_id, address FROM import_nodes WHERE address IS NOT NULL),
@@ -259,7 +259,7 @@ def address_sorted_load(spark, sf):
 @query("address_order", "SELECT id, row_number() OVER (PARTITION BY doc_id ORDER BY list_transform(string_split(address, '-'), lambda x: CAST(x AS int)), id) AS place FROM n")  # F1
 def address_order(spark, sf):
     w = Window.partitionBy("doc_id").orderBy(address_array(F.col("address")), "id")
-    return _n(spark, sf).select("id", F.row_number().over(w).alias("place"))
+    return _n(spark, sf).select("id", F.row_number().over(w).cast("long").alias("place"))
 
 
 @query("latest_docs", "SELECT doc_id, updated_at FROM dc ORDER BY updated_at DESC, doc_id DESC LIMIT 5")  # F13

@@ -49,7 +49,7 @@ def keyword_or(spark, sf):
 
 @query("keyword_or_groups", f"{_C}, g AS (SELECT 'glossary' AS term, doc_id, id, a AS score FROM c WHERE a > 0 UNION ALL SELECT 'axiom', doc_id, id, b FROM c WHERE b > 0), r AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY score DESC, id) AS place FROM g) SELECT term, doc_id, id, score, place FROM r WHERE place <= 50")  # G5
 def keyword_or_groups(spark, sf):
-    return S.or_groups(corpus_nodes(spark, sf), TERMS, 50).select("term", "doc_id", "id", "score", "place")
+    return S.or_groups(corpus_nodes(spark, sf), TERMS, 50).select("term", "doc_id", "id", "score", F.col("place").cast("long").alias("place"))
 
 
 @query("first_wins_union", f"{_C} SELECT id, CASE WHEN a > 0 THEN 'glossary' ELSE 'axiom' END AS term FROM s")  # E14 G5
@@ -95,7 +95,7 @@ def keyword_ranked(spark, sf):
     hits = S.keyword_search(nodes, TERMS, "or").join(S.bm25(nodes, "archive").select("id", F.round("score", 6).alias("bm")), "id", "left")
     order = [F.col("bm").desc_nulls_last(), F.desc("row_hits"), F.desc("score"), F.col("address"), F.col("id")]
     top = hits.orderBy(*order).limit(200)  # the page; its places are counted over these rows alone
-    return top.select("id", "score", F.row_number().over(Window.orderBy(*order)).alias("place"))
+    return top.select("id", "score", F.row_number().over(Window.orderBy(*order)).cast("long").alias("place"))
 
 
 _DIST = "list_sum(list_transform(list_zip(embedding, (SELECT embedding FROM embeddings WHERE vec_id = 0)), lambda z: (CAST(z[1] AS double) - z[2]) * (CAST(z[1] AS double) - z[2])))"

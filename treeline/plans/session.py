@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -12,6 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_KNOWN: set[str] = set()
+
+
 def local_session(cores: str = "*", **conf: str) -> SparkSession:
     """A session for tests and benches on one machine."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName("treeline")
@@ -56,22 +60,32 @@ def scratch_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, tag: str = "t") -> DataFrame:
     """Write ``df`` once into the scratch folder and read it back: cuts lineage, survives executor loss."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{tag}-{uuid.uuid4().hex[:12]}"
+    base = scratch_dir(spark)
+    if base not in _KNOWN:
+        _KNOWN.add(base)
+        atexit.register(_remove, spark, base)
+    path = f"{base}/{tag}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._treeline_path = path
     return out
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # the session has ended: nothing can be deleted any more
+        pass
+
+
 def release(*frames: DataFrame | None) -> None:
     """Delete superseded intermediate tables; frames that were not materialised are ignored."""
     for df in frames:
         path = getattr(df, "_treeline_path", None)
         if path is None:
             continue
-        jvm = df.sparkSession._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+        _remove(df.sparkSession, path)
 
 
 def spread(df: DataFrame, *keys: str, per_core: int = 3) -> DataFrame:

@@ -1,7 +1,8 @@
 """Skew-safe building blocks: grouped prefix sums and lookups that never put a hot key into one task.
 
-A key is *hot* when it holds more than ``max(HOT_ROWS, rows / 1000)`` rows, so at most 1000 keys are ever hot and the
-list of them is safe to collect and broadcast.
+In lookups a key is *hot* when it holds more than ``max(HOT_ROWS, rows / 1000)`` rows, so at most 1000 keys are ever hot and
+the list of them is safe to collect and broadcast. In prefix sums every group beyond ``HOT_ROWS`` rows is hot; their table
+is broadcast only while it is small.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql.window import Window
 from treeline.plans.session import materialize
 
 HOT_ROWS = 200_000
+MOST_BROADCAST = 100_000
 
 
 def hot_limit(rows: int, hot_rows: int | None = None) -> int:
@@ -22,9 +24,9 @@ def hot_limit(rows: int, hot_rows: int | None = None) -> int:
 def hot_keys(df: DataFrame, key: str, hot_rows: int | None = None) -> list:
     """Values of ``key`` with more rows than the limit; at most 1000 by construction."""
     counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    limit = hot_limit(total, hot_rows)
-    if total <= limit:
+    total, most = counts.agg(F.sum("n"), F.max("n")).first()
+    limit = hot_limit(total or 0, hot_rows)
+    if (most or 0) <= limit:
         return []
     return [r[0] for r in counts.where(F.col("n") > limit).select(key).collect()]
 
@@ -50,14 +52,18 @@ def prefix_sums(
     """
     before = Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     plain = {k: F.coalesce(F.sum(v).over(before), F.lit(0)) for k, v in sums.items()}
-    hot = hot_keys(df, group, hot_rows)
-    if not hot:
+    counts = df.where(F.col(group).isNotNull()).groupBy(group).agg(F.count(F.lit(1)).alias("n"))
+    hot = materialize(counts.where(F.col("n") > (hot_rows or HOT_ROWS)).select(group, F.lit(True).alias("_hot")), "hot")
+    n_hot = hot.count()
+    if not n_hot:
         return df.withColumns(plain)
-    is_hot = F.coalesce(F.col(group).isin(hot), F.lit(False))
-    cold = df.where(~is_hot).withColumns(plain)
+    tagged = df.join(F.broadcast(hot) if n_hot <= MOST_BROADCAST else hot, group, "left")
+    is_hot = F.coalesce("_hot", F.lit(False))
+    cold = tagged.where(~is_hot).drop("_hot").withColumns(plain)
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = (
-        df.where(is_hot)
+        tagged.where(is_hot)
+        .drop("_hot")
         .withColumns({f"_v_{k}": v for k, v in sums.items()})
         .repartitionByRange(max(parts, 2), F.col(group), *order)
         .withColumn("_pid", F.spark_partition_id())
@@ -71,7 +77,7 @@ def prefix_sums(
     inside = Window.partitionBy(group, "_pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     warm = (
         ranged.withColumns({f"_w_{k}": F.coalesce(F.sum(f"_v_{k}").over(inside), F.lit(0)) for k in sums})
-        .join(F.broadcast(bases), [group, "_pid"])
+        .join(bases, [group, "_pid"])
         .withColumns({k: F.col(f"_w_{k}") + F.col(f"_b_{k}") for k in sums})
         .select(cold.columns)
     )
