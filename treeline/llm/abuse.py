@@ -147,7 +147,7 @@ def votes(labels: DataFrame) -> DataFrame:
 def labelled_sample(docs: DataFrame, labels: DataFrame) -> pd.DataFrame:
     """At most MAX_LABELLED labelled documents, chosen by hash of the id."""
     voted = votes(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
-    return docs.select("doc_id", "text", "source_type").where("text is not null and text <> ''").join(voted, "doc_id").toPandas()
+    return docs.select("doc_id", "text", "source_type").where("text is not null and text <> ''").join(F.broadcast(voted), "doc_id").toPandas()
 
 
 class Scorer:

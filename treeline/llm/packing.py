@@ -118,9 +118,13 @@ def pack(items: DataFrame, limits: DataFrame, group_items: int = GROUP_ITEMS, ro
     room: their container_id and fill are null. Null or non-positive capacities and null ids are left out.
     """
     id_type = items.schema["doc_id"].dataType.simpleString()
-    caps = limits.where("capacity_tokens > 0").select("pack_name", F.col("capacity_tokens").cast("long").alias("capacity"))
+    # a small table that never grows: each text once for each capacity
+    caps = limits.where("pack_name is not null and capacity_tokens > 0").select("pack_name", F.col("capacity_tokens").cast("long").alias("capacity")).distinct().collect()
+    packs = F.array(*[F.struct(F.lit(r.pack_name).alias("pack_name"), F.lit(r.capacity).cast("long").alias("capacity")) for r in caps])
+    if not caps:
+        packs = F.array().cast("array<struct<pack_name:string,capacity:bigint>>")
     sized = materialize(items.select("doc_id", "n_tokens").where("doc_id is not null"), "sized")
-    every = sized.crossJoin(F.broadcast(caps))  # four capacities, each text once for each: no pairs of texts
+    every = sized.select("doc_id", "n_tokens", F.explode(packs).alias("p")).select("doc_id", "n_tokens", "p.pack_name", "p.capacity")
     starts = F.sequence(F.lit(0).cast("long"), F.col("n_tokens") - 1, F.col("capacity"))
     parts = every.where("n_tokens > 0").select("*", F.posexplode(starts).alias("k", "token_start"))
     parts = parts.select(
