@@ -1,11 +1,12 @@
 """Every core query against its SQL on the smallest tables."""
 
 import pytest
-from compare import connect, matches
-from conftest import SMALL
+from tests.compare import connect, matches
 
 from treeline.plans import catalog
 
+SMALL = "/root/testdata/sf0.001"
+
 
 @pytest.fixture(scope="module")
 def duck():
