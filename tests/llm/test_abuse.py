@@ -2,7 +2,6 @@
 
 import numpy as np
 import pandas as pd
-from conftest import *  # noqa: F403
 
 from treeline.llm import abuse
 from treeline.llm.boost import Trees, isotonic

@@ -3,7 +3,6 @@
 import random
 
 import numpy as np
-from conftest import *  # noqa: F403
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F

@@ -3,7 +3,6 @@
 import pandas as pd
 import pytest
 from collections import Counter
-from conftest import *  # noqa: F403
 from pyspark.sql import functions as F
 
 from treeline.llm.boundaries import gaps, units
