@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from treeline.llm.boundaries import first_word, gaps, units
 from treeline.plans.session import spread
 
-MAX_TYPES = 1_000_000
+MAX_TYPES = 400_000
 MAX_KEYS = 100_000
 KAPPA = 3.0
 SLACK = 2.0
