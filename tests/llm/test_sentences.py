@@ -98,3 +98,16 @@ def test_queries_run(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", F.col("text").alias("whole"))
     wrong = both.join(docs, "doc_id").where(F.substring("whole", F.col("start_offset").cast("int") + 1, (F.col("end_offset") - F.col("start_offset")).cast("int")) != F.col("text"))
     assert wrong.count() == 0
+
+
+def test_every_type_counts_beyond_the_driver_bound(spark, monkeypatch):
+    from treeline.llm import sentences as module
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    types = module.ngram_counts(docs).toPandas()
+    want = fit(types)
+    monkeypatch.setattr(module, "MAX_TYPES", 1000)
+    assert len(types) > 1000
+    got = train(docs)
+    for a, b in zip([*got.end, *got.start, *got.inner], [*want.end, *want.start, *want.inner]):
+        assert a == pytest.approx(b, rel=1e-6)

@@ -9,8 +9,9 @@ decoding, forward-backward over the gaps of a unit gives each gap's posterior; w
 sentence (``嗯……``, ``Well ...``) depends on the gap before, so neighbouring gaps are chained. 0.5 decides.
 
 Counting and decoding are one Arrow pass each over the documents; what is shuffled are n-gram counts (pre-aggregated
-per batch). The model the driver fits and broadcasts is bounded: at most ``MAX_TYPES`` most frequent n-gram types and
-``MAX_KEYS`` entries of a kind; rarer n-grams are decided by the back-off.
+per batch). Up to ``MAX_TYPES`` n-gram types the driver fits; beyond, the same rounds run as aggregations over all types
+(``fit_types``), so no count is left out. The model that is broadcast holds the ``MAX_KEYS`` most frequent entries of a kind;
+n-grams beyond these are decided by the back-off, whose tables hold the counts of all.
 """
 
 from __future__ import annotations
@@ -22,11 +23,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from treeline.llm.boundaries import first_word, gaps, units
-from treeline.plans.session import spread
+from treeline.plans.session import materialize, release, spread
 
 MAX_TYPES = 400_000
 MAX_KEYS = 100_000
@@ -156,6 +157,8 @@ def fit(counts: pd.DataFrame, rounds: int = 12) -> Model:
         r_codes.append(codes[: len(mid)])
         r_names.append(uniq)
         s_counts.append(np.bincount(codes[len(mid) :], weights=starts.n.to_numpy(float), minlength=len(uniq)))
+    right = pd.concat([mid[["r1", "r2"]], starts[["r1", "r2"]]])  # a word's class: the greatest it was seen with
+    cls = pd.Index(r_names[1]).get_indexer(right.groupby("r1").r2.max().reindex(r_names[0]))
     prior = np.array([_prior(a, b) for a, b in zip(mid.l2, mid.r2)])
     # start: a context that ends units about as often as boundaries do is one; so for words that start units
     n_units = max(float(ends.n.sum()), 1.0)
@@ -191,8 +194,6 @@ def fit(counts: pd.DataFrame, rounds: int = 12) -> Model:
         a1 = np.bincount(r_codes[0], weights=z * n, minlength=len(r_names[0])) + s_counts[0]
         b1 = np.bincount(r_codes[0], weights=(1 - z) * n, minlength=len(r_names[0]))
         sa, sb = a1.sum(), b1.sum()
-        cls = np.zeros(len(r_names[0]), int)
-        cls[r_codes[0]] = r_codes[1]
         members = np.maximum(np.bincount(cls, minlength=len(r_names[1])), 1)
         a1 = (a1 + KAPPA * a2[cls] / members[cls] * 5) / (sa + KAPPA * 5)
         b1 = (b1 + KAPPA * b2[cls] / members[cls] * 5) / (sb + KAPPA * 5)
@@ -212,10 +213,112 @@ def fit(counts: pd.DataFrame, rounds: int = 12) -> Model:
     return Model(end, start, inner)
 
 
+def _logistic(odds: Column, bound: float) -> Column:
+    return 1 / (1 + F.exp(-F.greatest(F.least(odds, F.lit(bound)), F.lit(-bound))))
+
+
+def fit_types(types: DataFrame, rounds: int = 12) -> Model:
+    """``fit`` over a table of types of any size: every round is one aggregation per kind of key, joined back to all types.
+
+    Only tables of classes (shapes with marks, kinds of right words) reach the driver, besides the model.
+    """
+    spark = types.sparkSession
+    tag = F.when(F.col("first") == 1, "^").otherwise("")
+    tail = F.expr("substr(l2, instr(l2, '|'))")
+    keys = [F.concat(tag, "l0").alias("k0"), F.concat(tag, "l1").alias("k1"), F.concat(tag, "l2").alias("k2"), tail.alias("k3")]
+
+    @F.pandas_udf("double")
+    def prior_of(l2: pd.Series, r2: pd.Series) -> pd.Series:
+        return pd.Series([_prior(a, b) for a, b in zip(l2, r2)], dtype=float)
+
+    ends = materialize(types.where("r1 = '' and l2 <> ''").select(*keys, F.col("n").cast("double").alias("f")), "ends")
+    starts = materialize(types.where("l2 = ''").select("r1", "r2", F.col("n").cast("double").alias("s")), "starts")
+    is_mid = types.where("r1 <> '' and l2 <> ''")
+    mid = materialize(is_mid.select(*keys, "r1", "r2", F.col("n").cast("double").alias("n"), prior_of("l2", "r2").alias("z")), "mid")
+    weight, total = mid.agg(F.sum(F.col("z") * F.col("n")), F.count(F.lit(1))).first()
+    if not total:
+        return Model([{}, {}, {}, {}], [{}, {}], [{}, {}])
+    n_units = max(ends.agg(F.sum("f")).first()[0] or 0.0, 1.0)
+    rho = n_units / (n_units + weight)
+    zero = F.lit(0.0)
+
+    def left(rows: DataFrame, k: str, up: str | None) -> DataFrame:
+        """Per key: yes (boundaries), w (rows), f (unit ends), pn (what the next level says, over its rows)."""
+        pn = F.col(up) * F.col("n") if up else zero
+        both = rows.select(k, (F.col("z") * F.col("n")).alias("yes"), F.col("n").alias("w"), zero.alias("f"), pn.alias("pn"))
+        both = both.unionAll(ends.select(k, zero, zero, "f", zero))
+        return both.groupBy(k).agg(*[F.sum(c).alias(c) for c in ("yes", "w", "f", "pn")])
+
+    def right(rows: DataFrame) -> DataFrame:
+        both = rows.select("r1", "r2", (F.col("z") * F.col("n")).alias("a"), ((1 - F.col("z")) * F.col("n")).alias("b"), zero.alias("s"))
+        both = both.unionAll(starts.select("r1", "r2", zero, zero, "s"))
+        return both.groupBy("r1").agg(F.max("r2").alias("cls"), *[F.sum(c).alias(c) for c in ("a", "b", "s")])
+
+    def level(sums: DataFrame, k: str) -> DataFrame:
+        up = F.when(F.col("w") > 0, F.col("pn") / F.greatest(F.col("w"), F.lit(1e-9))).otherwise(0.9)
+        p = (F.col("yes") + F.col("f") + KAPPA * up) / (F.col("w") + F.col("f") + KAPPA)
+        cap = F.greatest(F.least((F.col("f") + 1.0) / ((F.col("w") + F.col("f")) * rho) * SLACK, F.lit(1.0)), F.lit(1e-4))
+        return sums.select(k, F.least(p, cap).alias("p"), (F.col("w") + F.col("f")).alias("weight"))
+
+    share = F.greatest(F.least((F.col("f") + rho) / (F.col("f") + F.col("w") + 2.0) / rho, F.lit(0.99)), F.lit(0.01))
+    word = F.greatest(F.least((F.col("s") + rho) / (F.col("s") + F.col("a") + F.col("b") + 2.0) / rho, F.lit(0.99)), F.lit(0.01))
+    odds = F.log(F.col("z") / (1 - F.col("z"))) * 0.5 + F.log(F.col("zl") / (1 - F.col("zl"))) + F.log(F.col("zr") / (1 - F.col("zr")))
+    first = mid.join(left(mid, "k0", None).select("k0", share.alias("zl")), "k0").join(right(mid).select("r1", word.alias("zr")), "r1")
+    names = ["k0", "k1", "k2", "k3", "r1", "r2", "n"]
+    rows = materialize(first.select(*names, _logistic(odds, 8.0).alias("z")), "mid")
+    release(mid)
+    words = right(rows).groupBy("cls").agg(F.count(F.lit(1)).alias("members")).toPandas()
+    members = dict(zip(words.cls, words.members))
+    for turn in range(rounds):
+        low = left(rows, "k2", None).toPandas()
+        low["k3"] = [k[k.index("|") :] for k in low.k2]
+        top = low.groupby("k3")[["yes", "w", "f"]].sum()
+        p3 = (top.yes + top.f + KAPPA * 0.5) / (top.w + top.f + KAPPA)
+        up = np.where(low.w > 0, p3.reindex(low.k3).to_numpy(), 0.9)
+        low["p2"] = (low.yes + low.f + KAPPA * up) / (low.w + low.f + KAPPA)
+        by_class = rows.select("r2", (F.col("z") * F.col("n")).alias("a"), ((1 - F.col("z")) * F.col("n")).alias("b"), zero.alias("s")).unionAll(starts.select("r2", zero, zero, "s"))
+        two = by_class.groupBy("r2").agg(*[F.sum(c).alias(c) for c in ("a", "b", "s")]).toPandas()
+        n_classes = len(two)
+        two["a"] += two.s
+        sa, sb = float(two.a.sum()), float(two.b.sum())
+        two["a2"] = (two.a + 0.5) / (sa + 0.5 * n_classes)
+        two["b2"] = (two.b + 0.5) / (sb + 0.5 * n_classes)
+        share_of = [members.get(c, 1) for c in two.r2]
+        two["a5"], two["b5"] = two.a2 / share_of * 5 * KAPPA, two.b2 / share_of * 5 * KAPPA
+        shapes = F.broadcast(spark.createDataFrame(low[["k2", "p2"]]))  # one row a shape with its mark
+        kinds = F.broadcast(spark.createDataFrame(two[["r2", "a5", "b5"]].rename(columns={"r2": "cls"})))  # one row a kind of right word
+        with2 = rows.join(shapes, "k2")
+        one = level(left(with2, "k1", "p2"), "k1")
+        zeroth = level(left(rows.join(one.select("k1", F.col("p").alias("p1")), "k1"), "k0", "p1"), "k0")
+        ratio = right(rows).join(kinds, "cls").select(
+            "r1", ((F.col("a") + F.col("s") + F.col("a5")) / (sa + KAPPA * 5)).alias("a1"), ((F.col("b") + F.col("b5")) / (sb + KAPPA * 5)).alias("b1"),
+            (F.col("a") + F.col("b") + F.col("s")).alias("weight"),
+        )
+        if turn == rounds - 1:
+            break
+        p = F.col("p")
+        odds = F.log(F.greatest(F.least(p, F.lit(1 - 1e-6)), F.lit(1e-6)) / F.greatest(1 - p, F.lit(1e-6))) + F.log(F.col("a1") / F.col("b1"))
+        found = rows.join(zeroth.select("k0", "p"), "k0").join(ratio.select("r1", "a1", "b1"), "r1")
+        fresh = materialize(found.select(*names, _logistic(odds, 12.0).alias("z")), "mid")
+        release(rows)
+        rows = fresh
+
+    def kept(table: DataFrame, k: str) -> pd.DataFrame:
+        return table.orderBy(F.desc("weight"), k).limit(MAX_KEYS).toPandas()
+
+    k0, k1, r1 = kept(zeroth, "k0"), kept(one, "k1"), kept(ratio, "r1")
+    release(rows, ends, starts)
+    end = [dict(zip(k0.k0, k0.p)), dict(zip(k1.k1, k1.p)), dict(zip(low.k2, low.p2)), p3.to_dict()]
+    return Model(end, [dict(zip(r1.r1, r1.a1)), dict(zip(two.r2, two.a2))], [dict(zip(r1.r1, r1.b1)), dict(zip(two.r2, two.b2))])
+
+
 def train(docs: DataFrame) -> Model:
     """Model from the n-gram counts of all ``docs`` (text, source_type)."""
-    types = ngram_counts(docs).orderBy(F.desc("n"), "l0", "r1", "l1", "first").limit(MAX_TYPES)
-    return fit(types.toPandas())
+    types = materialize(ngram_counts(docs), "types")
+    try:
+        return fit(types.orderBy("l0", "l1", "l2", "r1", "r2", "first").toPandas()) if types.count() <= MAX_TYPES else fit_types(types)
+    finally:
+        release(types)
 
 
 def share_model(spark, model: Model):
