@@ -222,3 +222,18 @@ def test_state_of_volumes(spark):
     df = spark.createDataFrame([(day, day + timedelta(hours=h), s, d) for h, s, d in [(1, None, None), (25, None, None), (49, None, None), (60, day, day + timedelta(hours=2)), (2, day + timedelta(hours=1), None)]], "last timestamp, now timestamp, sealed timestamp, distilled timestamp")
     got = [r[0] for r in df.select(volumes.volume_state(F.col("last"), F.col("now"), F.col("sealed"), F.col("distilled"))).collect()]
     assert got == ["active", "sealed", "distillable", "distilled", "sealed"]
+
+
+def test_pdf_lines_lays_out_all_words(spark):
+    from pyspark.sql import functions as F
+
+    from treeline.plans.editing import QUERIES
+    from treeline.sources.corpus import corpus_docs
+
+    sf = "/root/testdata/sf0.01"
+    docs = corpus_docs(spark, sf).where("path is not null").select("path", F.size(F.filter(F.split("source_text", r"\s+"), lambda w: w != "")).alias("n"))
+    want = {r.path: r.n for r in docs.groupBy("path").agg(F.sum("n").alias("n")).where("n > 0").collect()}
+    got = QUERIES["pdf_lines"](spark, sf).groupBy("path").agg(F.max("page").alias("page"), F.sum(F.length(F.regexp_replace("text", r"\s+", ""))).alias("n")).collect()
+    whole = corpus_docs(spark, sf).where("path is not null").groupBy("path").agg(F.sum(F.length(F.regexp_replace("source_text", r"\s+", ""))).alias("n"))
+    assert max(want.values()) > 400 and {r.path: r.n for r in got} == {r.path: r.n for r in whole.where("n > 0").collect()}
+    assert max(r.page for r in got) >= 2

@@ -130,7 +130,7 @@ def embedded_texts(spark, sf):
 
 @query("pdf_lines")  # A10
 def pdf_lines(spark, sf):
-    words = corpus_docs(spark, sf).where("path is not null").select("path", F.posexplode(F.slice(F.split("source_text", r"\s+"), 1, 400)).alias("k", "text"))
+    words = corpus_docs(spark, sf).where("path is not null").select("path", F.posexplode(F.split("source_text", r"\s+")).alias("k", "text"))
     row, col = F.floor(F.col("k") / 10), F.col("k") % 10
     items = words.where("text <> ''").select(
         "path", (row / 20).cast("int").alias("page"), F.lit(600.0).alias("page_width"), (col * 60.0).alias("x"), (col * 60.0 + 50).alias("x1"),
