@@ -237,3 +237,11 @@ def test_pdf_lines_lays_out_all_words(spark):
     whole = corpus_docs(spark, sf).where("path is not null").groupBy("path").agg(F.sum(F.length(F.regexp_replace("source_text", r"\s+", ""))).alias("n"))
     assert max(want.values()) > 400 and {r.path: r.n for r in got} == {r.path: r.n for r in whole.where("n > 0").collect()}
     assert max(r.page for r in got) >= 2
+
+
+def test_closure_of_a_chain_that_advances_one_id_a_round(spark):
+    ids = [0, *range(100, 0, -1)]
+    links = spark.createDataFrame(list(zip(ids, ids[1:])), "a long, b long")
+    assert {r.id: r.group_id for r in closure(links).collect()} == dict.fromkeys(ids, 0)
+    with pytest.raises(RuntimeError):
+        closure(links, max_rounds=2)
