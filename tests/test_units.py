@@ -245,3 +245,27 @@ def test_closure_of_a_chain_that_advances_one_id_a_round(spark):
     assert {r.id: r.group_id for r in closure(links).collect()} == dict.fromkeys(ids, 0)
     with pytest.raises(RuntimeError):
         closure(links, max_rounds=2)
+
+
+def test_synonyms_and_related_ids_over_all_orders(spark):
+    from treeline.plans.retrieval import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    links = {(r.o_custkey, r.o_custkey // 3) for r in spark.read.parquet(f"{sf}/orders.parquet").select("o_custkey").collect()}
+    top: dict = {}
+
+    def find(x):
+        while top.setdefault(x, x) != x:
+            x = top[x]
+        return x
+
+    for a, b in links:
+        if a != b:
+            low, high = sorted((find(a), find(b)))
+            top[high] = low
+    want = {x: find(x) for x in list(top)}
+    assert {r.id: r.group_id for r in QUERIES["synonym_groups_all"](spark, sf).collect()} == want and max(want) >= 40
+    group = {x for x in want if want[x] == want.get(5)} | {5}
+    pairs = {(r.l_partkey, r.l_suppkey) for r in spark.read.parquet(f"{sf}/lineitem.parquet").select("l_partkey", "l_suppkey").collect()}
+    related = {y for p in pairs for x, y in (p, p[::-1]) if x in group} - group
+    assert {r.related_id for r in QUERIES["entity_related_all"](spark, sf).collect()} == related

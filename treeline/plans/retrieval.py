@@ -173,14 +173,36 @@ g AS (SELECT 5 AS id UNION SELECT y FROM g JOIN ed ON x = id), rel AS (SELECT a
 SELECT DISTINCT y AS related_id FROM rel WHERE x IN (SELECT id FROM g) AND y NOT IN (SELECT id FROM g)""")  # I14 I15
 def entity_related(spark, sf):
     links = table(spark, sf, "orders").where("o_orderkey % 7 <> 0 and o_custkey < 40").select(F.col("o_custkey").alias("a"), F.floor(F.col("o_custkey") / 3).cast("long").alias("b"))
+    pairs = table(spark, sf, "lineitem").where("l_linenumber = 1").select((F.col("l_partkey") % 50).alias("x"), (F.col("l_suppkey") % 50).alias("y"))
+    return _related(links, pairs, 5)
+
+
+def _related(links, pairs, seed: int):
+    """One hop of ``pairs`` from the synonym group of ``seed``, without the group."""
     groups = materialize(S.closure(links), "groups")
-    group = groups.join(groups.where("id = 5").select("group_id"), "group_id").select("id").unionByName(spark.range(5, 6)).distinct()
-    pairs = table(spark, sf, "lineitem").where("l_linenumber = 1").select((F.col("l_partkey") % 50).alias("x"), (F.col("l_suppkey") % 50).alias("y")).distinct()
+    group = groups.join(groups.where(F.col("id") == seed).select("group_id"), "group_id").select("id").unionByName(groups.sparkSession.range(seed, seed + 1)).distinct()
+    pairs = pairs.distinct()
     both = pairs.unionByName(pairs.select(F.col("y").alias("x"), F.col("x").alias("y")))
     hop = both.join(group.withColumnRenamed("id", "x"), "x", "left_semi").select(F.col("y").alias("id")).distinct()
     return hop.join(group, "id", "left_anti").select(F.col("id").alias("related_id"))
 
 
+def _all_links(spark, sf):
+    """Links of all orders: a customer and the one with a third of the key."""
+    return table(spark, sf, "orders").select(F.col("o_custkey").alias("a"), F.floor(F.col("o_custkey") / 3).cast("long").alias("b"))
+
+
+@query("synonym_groups_all")  # I16
+def synonym_groups_all(spark, sf):
+    return S.closure(_all_links(spark, sf))
+
+
+@query("entity_related_all")  # I14 I15
+def entity_related_all(spark, sf):
+    pairs = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("x"), F.col("l_suppkey").alias("y"))
+    return _related(_all_links(spark, sf), pairs, 5)
+
+
 @query("expanded_find", f"""{_C.replace("AS score, CAST", "AS score, CAST")} SELECT doc_id, id FROM c JOIN n USING (doc_id, id) WHERE (a > 0 OR contains({_HAY.replace('address', 'n.address')}, 'archive')) AND b > 0""")  # I18
 def expanded_find(spark, sf):
     nodes = corpus_nodes(spark, sf)
