@@ -269,3 +269,17 @@ def test_synonyms_and_related_ids_over_all_orders(spark):
     pairs = {(r.l_partkey, r.l_suppkey) for r in spark.read.parquet(f"{sf}/lineitem.parquet").select("l_partkey", "l_suppkey").collect()}
     related = {y for p in pairs for x, y in (p, p[::-1]) if x in group} - group
     assert {r.related_id for r in QUERIES["entity_related_all"](spark, sf).collect()} == related
+
+
+def test_embedded_texts_takes_every_node_with_a_text(spark):
+    from treeline.functions.embed import HashingEmbedder
+    from treeline.plans.editing import QUERIES
+    from treeline.sources.corpus import corpus_nodes
+
+    rows = [r for r in corpus_nodes(spark, "/root/testdata/sf0.001").collect() if r.text.strip()]
+    put = {r.id: "\n".join(t.strip() for t in (r.node_title, r.text, r.node_note) if t and t.strip()) for r in rows}
+    got = {r.id: r.embedding for r in QUERIES["embedded_texts"](spark, "/root/testdata/sf0.001").collect()}
+    assert got.keys() == put.keys() and any(r.depth == 3 for r in rows)
+    some = sorted(put)[:50]
+    for i, v in zip(some, HashingEmbedder(32)([put[i] for i in some])):
+        assert got[i] == pytest.approx(v, abs=1e-6)

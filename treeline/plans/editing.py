@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from treeline.functions.columns import WS
 from treeline.functions.embed import HashingEmbedder, embedded
 from treeline.functions.textdiff import diff_rows
 from treeline.operators import documents as D
 from treeline.plans.session import table
 from treeline.sources import pdf
-from treeline.sources.corpus import CORPUS_SQL, corpus_docs, corpus_nodes
+from treeline.sources.corpus import CORPUS_SQL, corpus_docs, corpus_nodes, filled
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -123,9 +124,12 @@ def hit_groups(spark, sf):
     return D.grouped_hits(hits)
 
 
-@query("embedded_texts")  # A37
+@query("embedded_texts")  # A37 I12
 def embedded_texts(spark, sf):
-    return embedded(corpus_nodes(spark, sf).where("depth = 2"), "id", "text", HashingEmbedder(32))
+    """Vectors of all nodes with a text, from their title, text and note."""
+    trimmed = [F.regexp_replace(F.coalesce(c, F.lit("")), f"^{WS}+|{WS}+$", "") for c in ("node_title", "text", "node_note")]
+    put = F.array_join(F.filter(F.array(*trimmed), lambda x: x != ""), "\n")
+    return embedded(corpus_nodes(spark, sf).where(filled(F.col("text"))).select("id", put.alias("input")), "id", "input", HashingEmbedder(32))
 
 
 @query("pdf_lines")  # A10
