@@ -111,3 +111,31 @@ def test_every_type_counts_beyond_the_driver_bound(spark, monkeypatch):
     got = train(docs)
     for a, b in zip([*got.end, *got.start, *got.inner], [*want.end, *want.start, *want.inner]):
         assert a == pytest.approx(b, rel=1e-6)
+
+
+def test_smoothing_follows_the_sum_over_whole_paths(model):
+    from itertools import product
+
+    text = "Well ... the branch came back empty. OK? Well ... no. Stop! Ah... Yes. Hm."
+    (a, b, body), = units(text, False)
+    found, _, final = gaps(text, a, b, body)
+    total, want = 0.0, [0.0] * len(found)
+    for path in product((0, 1), repeat=len(found)):
+        p = 1.0
+        for i, g in enumerate(found):
+            e, s, q = model.parts(g.keys, int(g.first == 1 or (g.first == 2 and path[i - 1])))
+            p *= e * s if path[i] else (1 - e) * q
+        p *= model.closing(*final[:3], "", int(final[3] == 1 or (final[3] == 2 and path[-1])))
+        total += p
+        want = [w + p * x for w, x in zip(want, path)]
+    assert any(g.first == 2 for g in found) and final[3] == 2
+    assert model.smoothed(found, final) == pytest.approx([w / total for w in want], abs=1e-9)
+
+
+def test_a_gap_is_decided_by_the_word_after_the_next_one():
+    from treeline.llm.boundaries import Gap
+
+    end = {"a|.": 0.3, "b|…": 0.2, "^b|…": 0.9}
+    m = Model([end, {}, {}, {}], [{"w": 0.1, "x": 0.1}, {}], [{"w": 0.1, "x": 0.01}, {}])
+    chained = [Gap(2, 3, ("a|.", "", "w|.", "w", "l"), 0), Gap(5, 6, ("b|…", "", "w|…", "x", "l"), 2)]
+    assert m.posteriors(chained)[0] == pytest.approx(0.3) and m.smoothed(chained)[0] == pytest.approx(2.73 / 4.69)

@@ -74,9 +74,21 @@ class Model:
     def __init__(self, end: list[dict], start: list[dict], inner: list[dict]) -> None:
         self.end, self.start, self.inner = end, start, inner
 
-    def odds(self, keys: tuple, first: int) -> float:
-        """P(boundary, right word | left) : P(no boundary, right word | left) as log odds."""
+    def parts(self, keys: tuple, first: int) -> tuple[float, float, float]:
+        """P(boundary | left), P(right word | boundary), P(right word | no boundary)."""
         l0, l1, l2, r1, r2 = keys
+        p = self.closing(l0, l1, l2, r2, first)
+        s = self.start[0].get(r1)
+        q = self.inner[0].get(r1)
+        if s is None and q is None:
+            s, q = self.start[1].get(r2, 0.02), self.inner[1].get(r2, 0.02)
+        else:
+            floor = 1e-7
+            s, q = s or floor, q or floor
+        return p, s, q
+
+    def closing(self, l0: str, l1: str, l2: str, r2: str, first: int) -> float:
+        """P(boundary | left)."""
         tag = "^" if first else ""
         e = self.end
         p = e[0].get(tag + l0)
@@ -86,18 +98,15 @@ class Model:
                 p = e[2].get(tag + l2)
                 if p is None:
                     p = e[3].get(l2[l2.find("|") :], _prior(l2, r2))
-        s = self.start[0].get(r1)
-        q = self.inner[0].get(r1)
-        if s is None and q is None:
-            s, q = self.start[1].get(r2, 0.02), self.inner[1].get(r2, 0.02)
-        else:
-            floor = 1e-7
-            s, q = s or floor, q or floor
-        p = min(max(p, 1e-5), 1 - 1e-5)
+        return min(max(p, 1e-5), 1 - 1e-5)
+
+    def odds(self, keys: tuple, first: int) -> float:
+        """P(boundary, right word | left) : P(no boundary, right word | left) as log odds."""
+        p, s, q = self.parts(keys, first)
         return float(np.log(p / (1 - p)) + np.log(s / q))
 
     def posteriors(self, found: list) -> list[float]:
-        """Forward-backward over the gaps of one unit; state: is the gap a boundary."""
+        """Forward filter over the gaps of one unit: each gap from what stands up to it (``smoothed`` also sees what follows)."""
         if not any(g.first == 2 for g in found):
             return [1 / (1 + np.exp(-self.odds(g.keys, g.first))) for g in found]
         trans = []
@@ -105,12 +114,35 @@ class Model:
             p0 = 1 / (1 + np.exp(-self.odds(g.keys, 1 if g.first == 1 else 0)))
             p1 = 1 / (1 + np.exp(-self.odds(g.keys, 1 if g.first else 0)))
             trans.append((p0, p1))
-        forward, prev = [], 0.0  # P(boundary here); the events carry their words' likelihood, so backward mass is even
+        forward, prev = [], 0.0
         for p0, p1 in trans:
             prev = prev * p1 + (1 - prev) * p0
             forward.append(prev)
         return forward
 
+    def smoothed(self, found: list, final: tuple | None = None) -> list[float]:
+        """Forward-backward over the gaps of one unit; state: is the gap a boundary. ``final``: keys of the unit's sure end."""
+        if not any(g.first == 2 for g in found) and not (final and final[3] == 2):
+            return self.posteriors(found)
+        steps = []  # P(boundary | none before), P(boundary | one before), the right word's likelihoods
+        for g in found:
+            p0, s, q = self.parts(g.keys, int(g.first == 1))
+            steps.append((p0, self.closing(*g.keys[:3], g.keys[4], 1) if g.first == 2 else p0, s, q))
+        yes, no, forward = 0.0, 1.0, []
+        for p0, p1, s, q in steps:
+            yes, no = (yes * p1 + no * p0) * s, (yes * (1 - p1) + no * (1 - p0)) * q
+            yes, no = yes / (yes + no), no / (yes + no)
+            forward.append((yes, no))
+        yes = no = 1.0  # P(what follows | boundary here or not)
+        if final and final[3] == 2:
+            yes, no = self.closing(*final[:3], "", 1), self.closing(*final[:3], "", 0)
+        out = []
+        for (f1, f0), (p0, p1, s, q) in zip(reversed(forward), reversed(steps)):
+            out.append(f1 * yes / (f1 * yes + f0 * no))
+            yes, no = p1 * s * yes + (1 - p1) * q * no, p0 * s * yes + (1 - p0) * q * no
+            yes, no = yes / (yes + no), no / (yes + no)
+        return out[::-1]
+
 
 def _prior(l2: str, r2: str) -> float:
     shape, tail = l2.split("|", 1)
@@ -336,8 +368,8 @@ def split(text: str, chat: bool, model: Model, ascii_marks: bool = True, lines:
     for a, b, body in units(text, chat, lines):
         begin = a
         if body < b:
-            found, sure, _ = gaps(text, a, b, body, ascii_marks)
-            cuts = [(g.end, g.start) for g, p in zip(found, model.posteriors(found) if found else []) if p > 0.5]
+            found, sure, final = gaps(text, a, b, body, ascii_marks)
+            cuts = [(g.end, g.start) for g, p in zip(found, model.smoothed(found, final) if found else []) if p > 0.5]
             if sure:
                 cuts = sorted(set(cuts) | {(s, s) for s in sure})
             for end, start in cuts:
