@@ -10,13 +10,14 @@ Training: raters label documents, not sentences, and err. Of a bounded sample of
 by hash of the id) each document's label is the share of its raters' latest votes; documents of a bad label give their
 strongest sentence as positive (chosen by the lists first, then by the first trees), those of a good label give their
 strongest sentences and some others as negatives. The learned list (log odds of words, pairs of words, and
-character pairs and triples of scripts without spaces) is computed out of fold for training. Scoring covers every
-sentence of every document.
+character pairs and triples of scripts without spaces) is computed out of fold for training, and calibration sees
+only documents that neither list nor trees have seen. Scoring covers every sentence of every document.
 """
 
 from __future__ import annotations
 
 import pickle
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -34,7 +35,6 @@ from treeline.llm.sentences import Model, is_chat, load_model, share_model, spli
 from treeline.plans.session import spread
 
 MAX_LABELLED = 6_000
-MAX_LEARNED = 60_000
 THRESHOLD = 0.5
 FOLDS = 4
 
@@ -43,7 +43,8 @@ _TESTS = {
     "sexual": L.matcher(L.SEXUAL), "threat": L.matcher(L.THREATS), "second": L.matcher(L.SECOND), "first": L.matcher(L.FIRST),
 }
 _KINDS = ("insult", "group", "inhuman", "sexual", "threat")
-_SAID = "“”„«»「」『』\"（）()《》"
+_SAID = re.compile("[“”„«»「」『』\"（）()《》]")
+_DIGIT = re.compile(r"\d")
 
 
 @lru_cache(maxsize=200_000)
@@ -55,26 +56,27 @@ def analyse(sentence: str) -> tuple[list[str], list[float]]:
     """Tokens for the learned list (those inside quotations marked with a leading ') and the dense features."""
     flat, hidden = L.plain(sentence)
     joined, inner = L.inner_marks(flat)
-    _, closes = guarded(joined) if any(c in joined for c in _SAID) else ([], {})
+    closes = guarded(joined)[1] if _SAID.search(joined) else {}
     zones = sorted((o, c) for c, o in closes.items() if joined[o] not in "(（[【")
     tokens: list[str] = []
     counts = dict.fromkeys([*_TESTS, *(f"q_{k}" for k in _KINDS)], 0)
     hits, persons, n, upper, quoted_words = [], [], 0, 0, 0
     last = ""
     z = 0
+    spaceless = L.SPACELESS_CHAR.search(joined) is not None
     for m in L._WORD.finditer(joined):
         w = m.group()
         while z < len(zones) and zones[z][1] < m.start():
             z += 1
         inside = z < len(zones) and zones[z][0] < m.start() < zones[z][1]
         low = w.lower()
-        if any(c.isdigit() for c in low):
+        if not low.isalpha() and _DIGIT.search(low):
             low = "0"
         n += 1
         quoted_words += inside
         upper += len(w) > 2 and w.isupper()
         tag = "'" if inside else ""
-        if L.SPACELESS_CHAR.search(w):
+        if spaceless and L.SPACELESS_CHAR.search(w):
             tokens += [tag + w[i : i + k] for k in (2, 3) for i in range(len(w) - k + 1)]
             last = ""
         else:
@@ -91,8 +93,8 @@ def analyse(sentence: str) -> tuple[list[str], list[float]]:
                     persons.append(n)
                 elif k in _KINDS:
                     hits.append(n)
-    if L.SPACELESS_CHAR.search(joined):
-        outside = "".join(c for i, c in enumerate(joined) if not any(a < i < b for a, b in zones))
+    if spaceless:
+        outside = "".join(c for i, c in enumerate(joined) if not any(a < i < b for a, b in zones)) if zones else joined
         for k, entries in L.SPACELESS.items():
             c = sum(outside.count(e) for e in entries)
             counts["inhuman" if k == "group" else k] += c
@@ -103,22 +105,30 @@ def analyse(sentence: str) -> tuple[list[str], list[float]]:
     near = min((abs(a - b) for a in hits for b in persons), default=50)
     size = max(n, len(joined) / 6, 1)
     letters = sum(map(str.isalpha, joined)) or 1
-    mixed = sum(1 for a, b in zip(joined, joined[1:]) if a.islower() and b.isupper())
+    capitals = sum(map(str.isupper, joined)) if joined != joined.lower() else 0
+    mixed = sum(1 for a, b in zip(joined, joined[1:]) if a.islower() and b.isupper()) if capitals > 1 or not joined[:1].isupper() and capitals else 0
+    digits = sum(map(str.isdigit, joined)) if _DIGIT.search(joined) else 0
     found = sum(counts[k] for k in _KINDS)
     dense = [
         *[float(counts[k]) for k in counts], found / size, found / size * (near < 6), 1.0 / (1 + near), float(hidden), float(inner), hidden / size,
-        float(upper), sum(map(str.isupper, joined)) / letters, float(mixed), float(joined.count("!")), float(joined.count("?")), float(size),
-        quoted_words / size, float(sentence.count("\U0001f595")), float("maskedword" in joined), float(sum(c.isdigit() for c in joined)) / len(joined or " "),
+        float(upper), capitals / letters, float(mixed), float(joined.count("!")), float(joined.count("?")), float(size),
+        quoted_words / size, float(sentence.count("\U0001f595")), float("maskedword" in joined), digits / len(joined or " "),
     ]
     return tokens, dense
 
 
-def learned_features(weights: np.ndarray) -> list[float]:
-    """Features of the learned list: ``weights`` has the log odds of the sentence's tokens, 0 where there is none."""
-    plus = np.sort(weights[weights > 0])[::-1]
-    minus = float(weights[weights < 0].sum())
-    total = float(plus.sum())
-    return [total, float(plus[0]) if len(plus) else 0.0, float(plus[:4].sum()), minus, (total + minus) / max(len(weights), 1), float(len(plus))]
+def learned_features(w: np.ndarray, owner: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Features of the learned list for many sentences: ``w`` has the non-zero log odds of their tokens, ``owner`` the sentence
+    of each, ``lengths`` the number of tokens of every sentence."""
+    n, up = len(lengths), w > 0
+    minus = np.bincount(owner[~up], w[~up], n)
+    w, owner = w[up], owner[up]
+    order = np.lexsort((-w, owner))
+    w, owner = w[order], owner[order]
+    rank = np.arange(len(w)) - np.searchsorted(owner, owner)
+    total = np.bincount(owner, w, n)
+    best, four = np.bincount(owner[rank == 0], w[rank == 0], n), np.bincount(owner[rank < 4], w[rank < 4], n)
+    return np.column_stack([total, best, four, minus, (total + minus) / np.maximum(lengths, 1), np.bincount(owner, minlength=n)])
 
 
 def log_odds(bad: np.ndarray, ok: np.ndarray, n_bad: float, n_ok: float) -> np.ndarray:
@@ -126,9 +136,6 @@ def log_odds(bad: np.ndarray, ok: np.ndarray, n_bad: float, n_ok: float) -> np.n
     rate = min(max(n_bad / max(n_bad + n_ok, 1e-9), 0.05), 0.95)
     w = np.log((bad + rate) / (n_bad + 1)) - np.log((ok + 1 - rate) / (n_ok + 1))
     w[(bad + ok < 2) | (np.abs(w) <= 0.7)] = 0
-    if (w != 0).sum() > MAX_LEARNED:
-        value = np.abs(w) * np.log1p(bad + ok)
-        w[value < np.partition(value, -MAX_LEARNED)[-MAX_LEARNED]] = 0
     return w
 
 
@@ -163,7 +170,11 @@ class Scorer:
         if not sentences:
             return np.zeros(0)
         get = self.weights.get
-        x = np.array([d + learned_features(np.array([get(t, 0.0) for t in tokens])) for tokens, d in sentences])
+        found = [[w for w in map(get, tokens) if w] for tokens, _ in sentences]
+        sizes = np.array([len(w) for w in found])
+        flat = np.fromiter((w for own in found for w in own), float, int(sizes.sum()))
+        learned = learned_features(flat, np.repeat(np.arange(len(found)), sizes), np.array([len(t) for t, _ in sentences]))
+        x = np.column_stack([np.array([d for _, d in sentences]), learned])
         return self.trees.predict(x) if self.trees else x[:, 0] + x[:, 2] + x[:, 3] + x[:, 4] - 2.0
 
 
@@ -177,71 +188,95 @@ def passages(text: str, chat: bool, model: Model) -> list[tuple[int, int, str]]:
     return out
 
 
+class _Bag:
+    """Unique sentences of the labelled documents as flat arrays: tokens, dense features, sentences of each document."""
+
+    def __init__(self, sample: pd.DataFrame, model: Model) -> None:
+        vocabulary: dict[str, int] = {}
+        known: dict[str, int] = {}
+        tokens: list[np.ndarray] = []
+        dense: list[list[float]] = []
+        self.docs: list[np.ndarray] = []
+        for text, kind in zip(sample.text, sample.source_type):
+            own = []
+            for *_, key in passages(text, is_chat(kind), model) or [(0, 0, "")]:
+                if key not in known:
+                    known[key] = len(dense)
+                    words, features = analyse(key)
+                    tokens.append(np.array([vocabulary.setdefault(t, len(vocabulary)) for t in words], np.int32))
+                    dense.append(features)
+                own.append(known[key])
+            self.docs.append(np.array(sorted(set(own))))
+        self.dense = np.array(dense)
+        self.vocabulary = vocabulary
+        self.flat = np.concatenate([*tokens, np.zeros(0, np.int32)])
+        self.owner = np.repeat(np.arange(len(tokens)), [len(t) for t in tokens])
+        self.bags = [np.unique(np.concatenate([tokens[k] for k in own])) for own in self.docs]
+
+    def log_odds(self, rows: np.ndarray, y: np.ndarray) -> np.ndarray:
+        counts = [np.zeros(len(self.vocabulary)), np.zeros(len(self.vocabulary))]
+        for i in rows:
+            counts[int(y[i])][self.bags[i]] += 1
+        return log_odds(counts[1], counts[0], float(y[rows].sum()), float(len(rows) - y[rows].sum()))
+
+    def features(self, weights: np.ndarray) -> np.ndarray:
+        """Dense and learned features of all sentences."""
+        at = np.flatnonzero(weights[self.flat])
+        lengths = np.bincount(self.owner, minlength=len(self.dense))
+        return np.column_stack([self.dense, learned_features(weights[self.flat[at]], self.owner[at], lengths)])
+
+
 def fit(sample: pd.DataFrame, model: Model) -> Scorer:
-    """Scorer from labelled documents (doc_id, text, source_type, share, raters)."""
+    """Scorer from labelled documents (doc_id, text, source_type, share, raters).
+
+    Calibration is nested: for each fold everything (learned list, choice of the sentence that earned the label, trees) is
+    fitted again on the other folds alone, so the knots rest on scores of documents that nothing has seen.
+    """
     if sample.empty or sample.share.max() <= 0.5 or sample.share.min() > 0.5:
         return Scorer({}, None, (np.array([-2.0, 2.0]), np.array([0.0, 1.0])))
     sample = sample.sort_values("doc_id").reset_index(drop=True)
     y = (sample.share > 0.5).to_numpy(float)
     sure = (np.abs(2 * sample.share - 1) * np.minimum(sample.raters, 3) / 3 + 0.05).to_numpy()
     fold = np.array([xxhash.xxh64_intdigest(str(i)) % FOLDS for i in sample.doc_id])
-    vocabulary: dict[str, int] = {}
-    known: dict[str, int] = {}
-    tokens: list[np.ndarray] = []
-    dense: list[list[float]] = []
-    docs: list[np.ndarray] = []
-    for text, kind in zip(sample.text, sample.source_type):
-        own = []
-        for *_, key in passages(text, is_chat(kind), model) or [(0, 0, "")]:
-            if key not in known:
-                known[key] = len(dense)
-                words, features = analyse(key)
-                tokens.append(np.array([vocabulary.setdefault(t, len(vocabulary)) for t in words], np.int32))
-                dense.append(features)
-            own.append(known[key])
-        docs.append(np.array(sorted(set(own))))
-    size = len(vocabulary)
-    bags = [np.unique(np.concatenate([tokens[k] for k in own])) for own in docs]
-
-    def lexicon_of(rows: np.ndarray) -> np.ndarray:
-        counts = [np.zeros(size), np.zeros(size)]
-        for i in rows:
-            counts[int(y[i])][bags[i]] += 1
-        return log_odds(counts[1], counts[0], float(y[rows].sum()), float(len(rows) - y[rows].sum()))
-
-    feats: list[np.ndarray] = [np.zeros(0)] * len(docs)
-    for f in range(FOLDS):
-        weights = lexicon_of(np.flatnonzero(fold != f))
-        mine = np.flatnonzero(fold == f)
-        learned = {k: learned_features(weights[tokens[k]]) for i in mine for k in docs[i]}
-        for i in mine:
-            feats[i] = np.array([dense[k] + learned[k] for k in docs[i]])
-    # first choice of the sentence that earned the label: the learned list, then the word lists and disguises
-    strength = [x[:, -4] + 2.0 * np.minimum(x[:, 0] + x[:, 2] + x[:, 3] + x[:, 4], 2) + np.minimum(x[:, 15], 2) for x in feats]
-
-    def grown(docs_at: np.ndarray) -> Trees:
-        rows, target, weight = [], [], []
-        for i in docs_at:
-            x, order = feats[i], np.argsort(-strength[i], kind="stable")
-            take = order[:1] if y[i] else np.concatenate([order[:3], order[3::17]])
-            rows.append(x[take])
-            target.append(np.full(len(take), y[i]))
-            weight.append(np.full(len(take), sure[i]))
-        return Trees().fit(np.concatenate(rows), np.concatenate(target), np.concatenate(weight))
-
-    every = np.arange(len(docs))
-    for _ in range(2):
-        trees = grown(every)
-        strength = [trees.predict(x) for x in feats]
-    trees = grown(every)
-    # calibration on documents the trees have not seen
-    top = np.zeros(len(docs))
-    for f in range(FOLDS):
-        part = grown(np.flatnonzero(fold != f))
-        for i in np.flatnonzero(fold == f):
-            top[i] = part.predict(feats[i]).max()
-    final = lexicon_of(every)
-    return Scorer({t: float(final[k]) for t, k in vocabulary.items() if final[k]}, trees, isotonic(top, y, sure))
+    bag = _Bag(sample, model)
+
+    def fitted(allowed: np.ndarray) -> tuple[Trees, np.ndarray]:
+        """Trees and learned list from the ``allowed`` documents only."""
+        feats = {}
+        for f in np.unique(fold[allowed]):  # a document's own label is in no list its features are computed with
+            x = bag.features(bag.log_odds(allowed[fold[allowed] != f], y))
+            feats.update((i, x[bag.docs[i]]) for i in allowed[fold[allowed] == f])
+        # first choice of the sentence that earned the label: the learned list, then the word lists and disguises
+        strength = {i: x[:, -4] + 2.0 * np.minimum(x[:, 0] + x[:, 2] + x[:, 3] + x[:, 4], 2) + np.minimum(x[:, 15], 2) for i, x in feats.items()}
+
+        def grown() -> Trees:
+            rows, target, weight = [], [], []
+            for i in allowed:
+                x, order = feats[i], np.argsort(-strength[i], kind="stable")
+                take = order[:1] if y[i] else np.concatenate([order[:3], order[3::17]])
+                rows.append(x[take])
+                target.append(np.full(len(take), y[i]))
+                weight.append(np.full(len(take), sure[i]))
+            return Trees().fit(np.concatenate(rows), np.concatenate(target), np.concatenate(weight))
+
+        for _ in range(2):
+            trees = grown()
+            ends = np.cumsum([len(feats[i]) for i in allowed])[:-1]
+            strength = dict(zip(allowed, np.split(trees.predict(np.concatenate([feats[i] for i in allowed])), ends)))
+        return grown(), bag.log_odds(allowed, y)
+
+    every = np.arange(len(y))
+    top = np.zeros(len(y))
+    for f in np.unique(fold):
+        held, rest = every[fold == f], every[fold != f]
+        if not len(rest) or y[rest].min() == y[rest].max():  # nothing to learn from: the lists alone
+            top[held] = [(bag.dense[bag.docs[i]][:, [0, 2, 3, 4]].sum(1) - 2.0).max() for i in held]
+            continue
+        trees, weights = fitted(rest)
+        x = bag.features(weights)
+        top[held] = [trees.predict(x[bag.docs[i]]).max() for i in held]
+    trees, final = fitted(every)
+    return Scorer({t: float(final[k]) for t, k in bag.vocabulary.items() if final[k]}, trees, isotonic(top, y, sure))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -5,38 +5,35 @@ from __future__ import annotations
 import re
 import unicodedata
 
-#: General word lists per kind, all languages together; stems end with '*'.
+#: General word lists per kind, all languages together; stems end with '*'. They name what is abusive anywhere: no
+#: word is listed because of the texts at hand. What a corpus adds (names of groups, turns of phrase) is learned from the labels.
 INSULTS = """
-idiot* moron* imbecil* imbécil* cretin* crétin* crétine halfwit* dimwit* dumbass* jackass* asshole* arsehole* bastard* wanker* twat*
-prick dickhead* loser* scumbag* retard* stupid* pathetic worthless useless clown* monkey* fool* sucker* shithead* bitch* cunt* slut*
+idiot* moron* imbecil* imbécil* cretin* crétin* halfwit* dimwit* dumbass* jackass* asshole* arsehole* bastard* wanker* twat*
+prick dickhead* loser* scumbag* retard* stupid* pathetic worthless useless clown* fool* sucker* shithead* bitch* cunt* slut*
 whore* stfu gtfo kys shit* fuck* fck* fuk* motherfuck* bullshit crap trash garbage filth* ugly disgusting brainless dumb dumber
-vollidiot* trottel* arschloch* depp* dummkopf* scheiß* scheiss* fresse wichser* schlampe* missgeburt* nichts
-connard* connasse* salope* abruti* débile* gueule putain merde bouffon* enculé* pauvre
-mierda gilipollas pendej* cabrón* puta puto estúpid* tont* cállate inútil* idiota*
+vollidiot* trottel* arschloch* depp* dummkopf* scheiß* scheiss* fresse wichser* schlampe* missgeburt*
+connard* connasse* salope* abruti* débile* putain merde bouffon* enculé*
+mierda gilipollas pendej* cabrón* puta puto estúpid* cállate inútil* idiota*
 идиот* дурак* тварь ничтожеств* урод* мудак* сука суки дебил* придурок* заткнись блядь хуй* пизд* дерьмо
-غبي غبية أحمق حمار اخرس فاخرس كلب حقير بیوقوف بےوقوف گدھے گدھا کمینے کمینہ احمق چپ
-बेवकूफ़ बेवकूफ गधे गधा कमीने कमीना मूर्ख चुप हरामी
-멍청이 멍청이야 바보 쓰레기 쓰레기야 닥쳐 병신 새끼 놈들은
+غبي غبية أحمق حمار اخرس حقير بیوقوف بےوقوف گدھا گدھے کمینہ کمینے احمق
+बेवकूफ़ बेवकूफ गधा गधे कमीना कमीने मूर्ख हरामी
+멍청이* 바보* 쓰레기* 닥쳐 병신* 새끼*
 ηλίθι* βλάκα* μαλάκα* ανόητ* άχρηστ* σκάσε κάθαρμα
 """.split()
 DEHUMANISING = """
-vermin scum rats rat parasites subhuman* filthy criminals criminal thieves liars inferior breed cripples brains
-abschaum ungeziefer pack vertrieben untermensch* vermine basura escoria echarlos мразь гнать отребье животные
-حثالة طردهم حشرات गंदगी निकाल गندگی گندگی نکال 벌레니까 벌레 쫓아내야 σκουπίδια σκουπιδια βρομι* διώξ*
+vermin scum rats rat parasites subhuman* filthy inferior abschaum ungeziefer untermensch* vermine basura escoria мразь отребье
+животные حثالة حشرات गंदगी گندگی 벌레* σκουπίδια
 """.split()
 GROUPS = """
-foreigner* newcomer* immigrant* refugee* migrants women old people folk citizens jews muslims gays blacks gypsies valley marsh
-ausländer* flüchtling* étrangers extranjeros чужаки остарийцы أجانب विदेशी 외국인 ostari* brennish kelmite* torvander*
+foreigner* immigrant* refugee* migrant* women jews muslims gays blacks gypsies ausländer* flüchtling* étrangers extranjeros чужаки أجانب विदेशी 외국인
 """.split()
 SEXUAL = """
-sex porn porno nude* naked tits boobs horny cock pussy cum dick xxx cams webcam* undress* blowjob orgasm* licked moan* gasped erotic
-uncensored housewife strings rough bare wearing nacktbild* nackt scharf geil nue nus nues desnud* entera голые голая хочу трах*
-عارية صورك नंगी तस्वीरें 알몸 사진 ننگی γυμν* φωτογραφίες
+sex porn porno nude* naked tits boobs horny cock pussy cum dick xxx webcam* undress* blowjob orgasm* moan* erotic
+nackt geil nue nus nues desnud* голые голая трах* عارية नंगी 알몸 ننگی γυμν*
 """.split()
 THREATS = """
-kill killed die death dead burn burns beat beaten shoot bullet break fingers neck whipped dragged hang hanged rape stab bury buried drown
-breathing tumour cancer watch find hurt murder töten umbringen brennt wohnst tuer crever matar muere morir убью сдохни найду
-سأقتلك मार مار 죽어 죽여 θα σκοτώσω
+kill killed die death dead burn burns beat beaten shoot hang hanged rape stab bury buried drown hurt murder töten umbringen tuer crever
+matar muere morir убью сдохни найду سأقتلك मार مار 죽어 죽여 σκοτώσω
 """.split()
 SECOND = """
 you your yours yourself u ya du dich dir dein deine deinen sie ihr euch tu te toi ton ta vous votre tú te ti tu usted eres ты тебя тебе твой твоя вы
@@ -45,10 +42,10 @@ you your yours yourself u ya du dich dir dein deine deinen sie ihr euch tu te to
 FIRST = "i my me myself ich mich je moi yo я मैं أنا میں 나 나는 εγώ".split()
 #: The same for scripts written without spaces; matched as substrings.
 SPACELESS = {
-    "insult": "白痴 蠢货 傻逼 笨蛋 废物 滚远 滚开 滚蛋 闭嘴 混蛋 王八蛋 贱人 垃圾 馬鹿 バカ ばか 死ね クズ 黙れ 間抜け うざい きもい โง่ ควาย ไอ้ อีโง่ หุบปาก สารเลว ขยะ 扔了 你妈".split(),
-    "group": "害虫 人渣 下等 低人一等 滚出 追い出せ 連中 蛆虫 畜生 ไล่ออก พวก 驱逐 外地人 山里人 外国人".split(),
-    "sexual": "裸照 做爱 色情 性爱 脱光 裸体 宝贝 裸の 裸 エロ セックス 写真送 เปลือย โป๊ เซ็กซ์ รูปโป๊ นู้ด".split(),
-    "threat": "打断 杀了 弄死 砍死 宰了 去死 殺す 殺して ぶっ殺 殴 ฆ่า ตาย กระทืบ".split(),
+    "insult": "白痴 蠢货 傻逼 笨蛋 废物 滚开 滚蛋 闭嘴 混蛋 王八蛋 贱人 垃圾 馬鹿 バカ ばか 死ね クズ 黙れ 間抜け うざい きもい โง่ ควาย ไอ้ หุบปาก สารเลว ขยะ 你妈".split(),
+    "group": "害虫 人渣 下等 低人一等 蛆虫 畜生 外国人".split(),
+    "sexual": "裸照 做爱 色情 性爱 脱光 裸体 裸 エロ セックス เปลือย โป๊ เซ็กซ์ นู้ด".split(),
+    "threat": "杀了 弄死 砍死 宰了 去死 殺す 殺して ぶっ殺 ฆ่า ตาย กระทืบ".split(),
     "second": "你 您 你们 お前 あなた 君 貴様 てめえ มึง แก คุณ เธอ".split(),
 }
 #: Look-alike letters (Cyrillic and Greek to Latin).
@@ -68,8 +65,9 @@ SPACELESS_CHAR = re.compile("[぀-ヿ㐀-鿿฀-๿]")
 
 def plain(text: str) -> tuple[str, int]:
     """Text with disguises undone (case kept) and the number of disguised places."""
-    text = unicodedata.normalize("NFKC", text)
     n = 0
+    if not text.isascii():
+        text = unicodedata.normalize("NFKC", text)
     if _INVISIBLE.search(text):
         text, k = _INVISIBLE.subn("", text)
         n += k
