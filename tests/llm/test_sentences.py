@@ -5,7 +5,7 @@ import pytest
 from collections import Counter
 from pyspark.sql import functions as F
 
-from treeline.llm.boundaries import gaps, units
+from treeline.llm.boundaries import count_words, gaps, units, word_key
 from treeline.llm.catalog import QUERIES
 from treeline.llm.sentences import Model, _count, fit, sentences, split, train
 
@@ -16,10 +16,14 @@ COLUMNS = ["l0", "l1", "l2", "r1", "r2", "first", "n"]
 @pytest.fixture(scope="module")
 def model():
     docs = pd.read_parquet("/root/testdata/sf0.01/documents.parquet")
-    c = Counter()
+    c, words = Counter(), Counter()
     for text, kind in zip(docs.text, docs.source_type):
         if text:
             _count(text, kind == "chat", c)
+            count_words(text, words)
+    for w, n in words.items():
+        if word_key(w):
+            c[("", "", "", word_key(w), "", 9)] += n
     return fit(pd.DataFrame([(*k, n) for k, n in c.items()], columns=COLUMNS))
 
 
@@ -61,22 +65,58 @@ def test_without_ascii_marks(model):
     assert cut(text, model, ascii_marks=False) == ["One. Two! 三。", "四！"]
 
 
-def test_forward_follows_the_sum_over_all_paths(model):
-    text = "Well ... the branch came back empty. OK? Well ... no. Stop! Ah... Yes."
+UNMARKED = {
+    "en": "the pump manual was loaded twice nobody signed the node list the harvest record is empty this needs another reading the lease file was rebuilt " * 5,
+    "ja": "目次は再構築されたノード一覧の節を見よ目次は原文と一致しない" * 6,
+    "zh": "词汇表放错了文件夹请在之前把值班表交给林若川值班表增加了三分之一种子登记册没有人签字" * 6,
+}
+
+
+def test_text_without_punctuation_is_split_by_the_model(model):
+    """No mark anywhere: boundaries stand between words (characters), and a short line stays whole."""
+    for name, text in UNMARKED.items():
+        got = cut(text, model)
+        assert len(got) > 5 and "".join(got).replace(" ", "") == text.replace(" ", ""), name
+    assert "目次は再構築された" in cut(UNMARKED["ja"], model)
+    assert cut("the pump manual was loaded twice nobody signed", model) == ["the pump manual was loaded twice nobody signed"]
+    assert cut("One, " + UNMARKED["en"], model) == [("One, " + UNMARKED["en"]).strip()]  # a mark shows that marks are set
+
+
+def test_unmarked_follows_the_sum_over_whole_paths():
+    from itertools import product
+
+    from treeline.llm.sentences import HAZARD
+
+    m = Model([{}] * 4, [{}, {}], [{}, {}], {"A": (0.2, 2.0), "B": (0.6, 0.5), "C": (0.1, 3.0)}, 1.0)
+    words = "A B C A C B A B C A B".split()
+    between = [(i, i + 1, x, y) for i, (x, y) in enumerate(zip(words, words[1:]))]
+    for unspaced in (False, True):
+        hazard, total, want = HAZARD[unspaced], 0.0, [0.0] * len(between)
+        for path in product((0, 1), repeat=len(between)):
+            p, d = 1.0, 0
+            for (_, _, x, y), cut_here in zip(between, path):
+                e = m.words[x][0] * hazard[d]
+                p *= e * m.words[y][1] if cut_here else 1 - e
+                d = 0 if cut_here else min(d + 1, len(hazard) - 1)
+            total += p
+            want = [w + p * x for w, x in zip(want, path)]
+        weight = 1 / (1 + 100 * 2.718281828459045 ** -len(between))
+        assert m.unmarked(between, unspaced) == pytest.approx([weight * w / total for w in want], abs=1e-9)
+
+
+def test_thai_spaces_are_decided_by_the_model():
+    text = "รายงานนำเข้าถูกสร้างใหม่แล้ว คู่มือปั๊มมีหน้า กรุณาส่ง"
     (a, b, body), = units(text, False)
-    found, _, _ = gaps(text, a, b, body)
-    got = model.posteriors(found)
-    prob = {(): 1.0}
-    for g in found:
-        step = {}
-        for path, p in prob.items():
-            alone = g.first == 1 or (g.first == 2 and path[-1])
-            q = 1 / (1 + 2.718281828459045 ** -model.odds(g.keys, int(alone)))
-            step[path + (1,)] = p * q
-            step[path + (0,)] = p * (1 - q)
-        prob = step
-    want = [sum(p for path, p in prob.items() if path[i]) for i in range(len(found))]
-    assert got == pytest.approx(want, abs=1e-9)
+    found, bare, final = gaps(text, a, b, body)
+    assert len(found) == 2 and not bare and final and all("␣" in g.keys[2] for g in found)
+    never = Model([{}, {}, {}, {"|␣": 0.01}], [{}, {}], [{}, {}])
+    assert cut(text, never) == [text] and len(cut(text, Model([{}] * 4, [{}, {}], [{}, {}]))) == 3
+
+
+def test_sentence_marks_of_further_scripts():
+    m = Model([{}] * 4, [{}, {}], [{}, {}])
+    for mark in "။។።։།":
+        assert len(cut(f"ကခဂ{mark} ငစဆ{mark}", m)) == 2, mark
 
 
 def test_operator_on_awkward_rows(spark, model):
@@ -111,6 +151,8 @@ def test_every_type_counts_beyond_the_driver_bound(spark, monkeypatch):
     got = train(docs)
     for a, b in zip([*got.end, *got.start, *got.inner], [*want.end, *want.start, *want.inner]):
         assert a == pytest.approx(b, rel=1e-6)
+    assert got.length == pytest.approx(want.length, rel=1e-6) and set(got.words) == set(want.words)
+    assert all(got.words[w] == pytest.approx(want.words[w], rel=1e-5) for w in want.words)
 
 
 def test_smoothing_follows_the_sum_over_whole_paths(model):
@@ -129,7 +171,7 @@ def test_smoothing_follows_the_sum_over_whole_paths(model):
         total += p
         want = [w + p * x for w, x in zip(want, path)]
     assert any(g.first == 2 for g in found) and final[3] == 2
-    assert model.smoothed(found, final) == pytest.approx([w / total for w in want], abs=1e-9)
+    assert model.posteriors(found, final) == pytest.approx([w / total for w in want], abs=1e-9)
 
 
 def test_a_gap_is_decided_by_the_word_after_the_next_one():
@@ -138,4 +180,4 @@ def test_a_gap_is_decided_by_the_word_after_the_next_one():
     end = {"a|.": 0.3, "b|…": 0.2, "^b|…": 0.9}
     m = Model([end, {}, {}, {}], [{"w": 0.1, "x": 0.1}, {}], [{"w": 0.1, "x": 0.01}, {}])
     chained = [Gap(2, 3, ("a|.", "", "w|.", "w", "l"), 0), Gap(5, 6, ("b|…", "", "w|…", "x", "l"), 2)]
-    assert m.posteriors(chained)[0] == pytest.approx(0.3) and m.smoothed(chained)[0] == pytest.approx(2.73 / 4.69)
+    assert m.posteriors(chained)[0] == pytest.approx(2.73 / 4.69)  # 0.3 without what follows

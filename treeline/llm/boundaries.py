@@ -1,19 +1,22 @@
 """Structure, candidate gaps and features for sentence segmentation (plain Python over one text).
 
 A text is cut into *units* by rules that hold in every language (empty lines, heading and list lines, chat turns,
-``$$`` formulas). Inside a unit only *candidate gaps* are open: places after an end mark (with its closing quotes,
-brackets and emoji) that are not inside a quotation, bracket, code or formula. A space between two Thai words always is a
-boundary. Whether a candidate gap is one is decided by the hidden-event model in ``sentences``.
+``$$`` formulas). Inside a unit the *gaps* are open: places after an end mark (with its closing quotes, brackets and emoji)
+and spaces between Thai words, outside quotations, brackets, code and formulas; in a unit without any punctuation every
+place between words (characters, where words are not spaced). Whether a gap is a boundary is decided by the hidden-event
+model in ``sentences``.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
+from functools import lru_cache
 from typing import NamedTuple
 
 #: Marks and character classes.
 ASCII_MARKS = ".!?;"
-WIDE_MARKS = "。！？．｡؟۔।॥…‥;"
+WIDE_MARKS = "。！？．｡؟۔।॥…‥;။។።։།"
 EMOJI = "\U0001f000-\U0001f594\U0001f596-\U0001faff☀-➿←-⇿⬀-⯿\ufe0f\u200d\U000e0020-\U000e007f"  # without U+1F595, which stands for a word
 PAIRS = {"“": "”", "„": "“”", "«": "»", "「": "」", "『": "』", "（": "）", "(": ")", "【": "】", "[": "]", "《": "》", "‘": "’", '"': '"', "〈": "〉", "［": "］"}
 CONTINUES = set(",;:、，；：،؛·)]}）】」』”»%=&/|" + ASCII_MARKS + WIDE_MARKS)
@@ -26,8 +29,14 @@ SPEAKER = re.compile(r"\s*[^\s:：.!?。！？][^:：\n.!?。！？]{0,60}?[:：
 _GUARD = re.compile(r"`[^`\n]+`|\$(?!\s)[^$\n]{1,200}(?<!\s)\$")
 _QUOTES = re.compile("[" + re.escape("".join(PAIRS) + "".join(PAIRS.values())) + "]")
 _MARKS = re.compile(f"[{re.escape(ASCII_MARKS + WIDE_MARKS)}]+(?:[ \u00a0\u202f]*[{re.escape(ASCII_MARKS + WIDE_MARKS)}]+)*")
-_THAI_GAP = re.compile(r"(?<=[฀-๿])\s+(?=[฀-๿])")
+_MARKS_OR_THAI = re.compile(_MARKS.pattern + r"|(?<=[฀-๿])\s+(?=[฀-๿])")
+THAI = re.compile("[฀-๿]")
+_PUNCTUATION = re.compile("[.,!?;:…‥،؛٬、，；：·" + re.escape(WIDE_MARKS) + "]")
 _AFTER = re.compile(f"(?:\\s*[{EMOJI}]+)+")
+_EMOJI = re.compile(f"[{EMOJI}]")
+_TOKEN = re.compile(r"[぀-ヿ㐀-鿿豈-﫿]|[^\s぀-ヿ㐀-鿿豈-﫿]+")
+_UNSPACED = re.compile("[぀-ヿ㐀-鿿豈-﫿]{2,}")
+SPACE = "␣"
 _CJK = re.compile("[぀-ヿ㐀-鿿豈-﫿＀-￯]")
 _DIGITS = re.compile(r"\d+")
 _WS = " \t\r\n\u00a0\u3000\x0b\x0c\u2028\u2029\u202f\ufeff\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u205f\x85\x1c\x1d\x1e\x1f"
@@ -118,6 +127,7 @@ def guarded(unit: str) -> tuple[list[tuple[int, int]], dict[int, int]]:
     return zones, closes
 
 
+@lru_cache(maxsize=100_000)
 def _shape(word: str) -> str:
     if not word:
         return "-"
@@ -157,45 +167,93 @@ def first_word(unit: str, n: int) -> tuple[str, str]:
     return lead + word, (lead[:1] or "") + kind
 
 
-def gaps(text: str, a: int, b: int, body: int, ascii_marks: bool = True) -> tuple[list[Gap], list[int], tuple | None]:
-    """Of one unit: candidate gaps, sure boundaries (Thai spaces; starts of right sentences), keys of the end."""
+def word_key(token: str) -> str:
+    """Form of a word wherever it stands: without marks behind it, digits alike."""
+    return _DIGITS.sub("0", token.rstrip(",;:.!?…。！？।؟۔、，"))[-20:]
+
+
+def count_words(text: str, into: Counter) -> None:
+    """All words of a text as they stand (``word_key`` is applied to the types), and all pairs of characters that are not spaced."""
+    runs = _UNSPACED.findall(text)
+    if runs:
+        for run in runs:
+            into.update(map("".join, zip(run, run[1:])))
+        text = _UNSPACED.sub(" ", text)
+    into.update(text.split())
+
+
+def word_gaps(text: str, a: int, b: int) -> tuple[list[tuple[int, int, str, str]], bool]:
+    """Places between the words of a unit without punctuation: (end, start, left key, right key); whether words are not spaced."""
+    tokens = [(m.start(), m.end()) for m in _TOKEN.finditer(text, a, b)]
+    out, unspaced = [], 0
+    for (s1, e1), (s2, e2) in zip(tokens, tokens[1:]):
+        left, right = text[s1:e1], text[s2:e2]
+        if e1 - s1 == 1 and _CJK.match(left):
+            left = text[max(a, e1 - 2) : e1]
+        if e2 - s2 == 1 and _CJK.match(right):
+            right = text[s2 : s2 + 2]
+            unspaced += 1
+        out.append((e1, s2, word_key(left), word_key(right)))
+    return out, unspaced * 2 > len(out)
+
+
+def _context(unit: str, begin: int, s: int, closer: str) -> tuple[str, str, bool]:
+    """Last word and last two words before ``s``, and whether nothing else stands since ``begin``."""
+    left = unit[max(begin, s - 48) : s].rstrip(" \u00a0\u202f") if s > begin else ""
+    last = left[-1:]
+    if _CJK.match(last or " ") or (left and not closer and last in "”」』）》】"):
+        w1, w2, alone = left[-2:], left[-4:], s - begin <= 3
+    else:
+        words = left.rsplit(None, 2)
+        w1, w2, alone = words[-1] if words else "", " ".join(words[-2:]), len(words) <= 1
+    return _DIGITS.sub("0", w1)[-20:], _DIGITS.sub("0", w2)[-32:], alone
+
+
+def gaps(text: str, a: int, b: int, body: int, ascii_marks: bool = True, thai: bool | None = None, emoji: bool | None = None) -> tuple[list[Gap], bool, tuple | None]:
+    """Of one unit: its gaps at marks and Thai spaces, whether it has no punctuation at all (see ``word_gaps``), keys of its end.
+
+    ``thai``, ``emoji``: whether the text has any, where the caller knows."""
     unit = text[a:b]
     off = body - a
+    thai = THAI.search(unit) is not None if thai is None else thai
+    emoji = _EMOJI.search(unit) is not None if emoji is None else emoji
     zones, closes = guarded(unit)
-    spans = sorted(zones + [(o, c + 1) for c, o in closes.items()])
     merged: list[tuple[int, int]] = []
-    for s, e in spans:
-        if merged and s < merged[-1][1]:
-            if e > merged[-1][1]:
-                merged[-1] = (merged[-1][0], e)
-        else:
-            merged.append((s, e))
+    if zones or closes:
+        for s, e in sorted(zones + [(o, c + 1) for c, o in closes.items()]):
+            if merged and s < merged[-1][1]:
+                if e > merged[-1][1]:
+                    merged[-1] = (merged[-1][0], e)
+            else:
+                merged.append((s, e))
     found: list[Gap] = []
     final = None
+    size = len(unit)
     z = 0
     begin = off  # start of the last possible sentence
     begun_sure = True
-    for m in _MARKS.finditer(unit, off):
-        s, e = m.start(), m.end()
+    bare = True
+    for m in (_MARKS_OR_THAI if thai else _MARKS).finditer(unit, off):
+        bare = False
+        s, e = m.span()
         marks = m.group()
-        if not ascii_marks:
-            wide = [c for c in marks if c in WIDE_MARKS]
-            if not wide:
-                continue
-        if ";" in marks and not (s and "Ͱ" <= unit[s - 1] <= "῿"):
-            marks = marks.replace(";", "")
-            if not marks.strip():
+        space = marks.isspace()
+        if not space:
+            if not ascii_marks and not any(c in WIDE_MARKS for c in marks):
                 continue
-        # an end mark that opens a word (.gitignore) or stands alone does not end one
-        while True:  # closers and emoji after the mark
-            g = e
-            k = e
-            while k < len(unit) and unit[k] in " \u00a0\u202f":
+            if ";" in marks and not (s and "Ͱ" <= unit[s - 1] <= "῿"):
+                marks = marks.replace(";", "")
+                if not marks.strip():
+                    continue
+        g, x = s if space else e, None
+        while not space and (closes or emoji):  # closers and emoji after the mark
+            g = k = e
+            while k < size and unit[k] in " \u00a0\u202f":
                 k += 1
             if k in closes and (k == e or unit[k] == "»") and closes[k] < s:
                 e = k + 1
                 continue
-            x = _AFTER.match(unit, e)
+            x = _AFTER.match(unit, e) if emoji else None
             if x:
                 e = x.end()
                 continue
@@ -205,52 +263,46 @@ def gaps(text: str, a: int, b: int, body: int, ascii_marks: bool = True) -> tupl
         closer = ""
         opened_at = None
         if z < len(merged) and merged[z][0] <= s < merged[z][1]:
-            if merged[z][1] > e:
+            if space or merged[z][1] > e:
                 continue  # inside a quotation, bracket, code or formula that goes on
             if merged[z][1] - 1 not in closes:
                 continue
             closer = unit[merged[z][1] - 1]
             opened_at = merged[z][0]
-        n = g
-        while n < len(unit) and (unit[n] in _WS or unit[n].isspace()):
+        n = e
+        while n < size and (unit[n] in _WS or unit[n].isspace()):
             n += 1
-        kind = "…" if all(c in ".…‥ \u00a0\u202f" for c in marks) and (len(marks) > 1 or marks in "…‥") else next((c for c in marks if c in "!?！？؟"), marks.strip()[:1])
-        left = unit[max(begin, s - 48) : s].rstrip(" \u00a0\u202f") if s > begin else ""
-        if not left and n < len(unit) and n == e:
-            continue
-        if _CJK.match(left[-1:] or " ") or (left and not closer and left[-1:] in "”」』）》】"):
-            w1, w2 = left[-2:], left[-4:]
-            alone = s - begin <= 3
+        if space:
+            kind = SPACE
+        elif len(marks) == 1:
+            kind = "…" if marks in "…‥" else marks
         else:
-            words = left.rsplit(None, 2)
-            w1 = words[-1] if words else ""
-            w2 = " ".join(words[-2:])
-            alone = len(words) <= 1
-        w1, w2 = _DIGITS.sub("0", w1)[-20:], _DIGITS.sub("0", w2)[-32:]
+            kind = "…" if all(c in ".…‥ \u00a0\u202f" for c in marks) else next((c for c in marks if c in "!?！？؟"), marks.strip()[:1])
+        # an end mark that opens a word (.gitignore) or stands alone does not end one
+        w1, w2, alone = _context(unit, begin, s, closer)
+        if not w1 and n < size and n == e:
+            continue
         qs = ("q" if opened_at is not None and opened_at <= begin else "") + closer
-        emo = "e" if e > m.end() and x is None and _AFTER.search(unit, m.end(), e) else ""
+        emo = "e" if emoji and e > m.end() and _AFTER.search(unit, m.end(), e) else ""
         first = (1 if begun_sure else 2) if alone else 0
         tail = f"|{kind}{qs}"
-        l2 = f"{_shape(w1)}{tail}{emo}"
-        keys3 = (w2 + tail, w1 + tail, l2)
-        if n >= len(unit):
+        keys3 = (w2 + tail, w1 + tail, f"{_shape(w1)}{tail}{emo}")
+        if n >= size:
             final = (*keys3, first)
             continue
         nxt = unit[n]
         if nxt in CONTINUES:
             continue
-        if n == e and not closer and not emo:
+        if n == e and not closer and not emo and not space:
             wide_mark = any(c in WIDE_MARKS for c in marks)
             if not wide_mark and not _CJK.match(nxt):
                 continue  # 3.14, notes.md, a?b
             if not wide_mark and kind == "." and s and unit[s - 1].isascii() and unit[s - 1].isalnum():
                 continue
-        r1, r2 = first_word(unit, n)
-        found.append(Gap(a + g, a + n, (*keys3, r1, r2), first))
+        found.append(Gap(a + g, a + n, (*keys3, *first_word(unit, n)), first))
         begin, begun_sure = n, False
-    sure: list[int] = []
-    if any("฀" <= c <= "๿" for c in unit):
-        for m in _THAI_GAP.finditer(unit, off):
-            if not any(s <= m.start() < e for s, e in merged):
-                sure.append(a + m.end())
-    return found, sure, final
+    if thai and final is None and THAI.match(unit[-1]):  # a Thai unit's end is one like its spaces
+        w1, w2, alone = _context(unit, begin, size, "")
+        tail = "|" + SPACE
+        final = (w2 + tail, w1 + tail, _shape(w1) + tail, (1 if begun_sure else 2) if alone else 0)
+    return found, bare and not merged and _PUNCTUATION.search(unit, off) is None, final

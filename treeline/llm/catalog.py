@@ -29,7 +29,8 @@ def p3_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p5_pieces(spark, sf_dir).select("item_id", "cut_kind").distinct()
+    cut = split_items(table(spark, sf_dir, "import_nodes"), table(spark, sf_dir, "import_limits"), with_text=False)
+    return cut.where("piece_no = 1").select("item_id", "cut_kind")
 
 
 def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
