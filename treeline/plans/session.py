@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -50,9 +51,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """Folder shared by all executors: ``spark.checkpoint.dir`` where set, else a local one (tests only)."""
+    """Folder shared by all executors: ``spark.checkpoint.dir``. Only a session on one machine (tests) may do without."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "treeline-scratch")
     return f"{base.rstrip('/')}/treeline/{spark.sparkContext.applicationId}"
 
@@ -96,5 +99,11 @@ def spread(df: DataFrame, *keys: str, per_core: int = 3) -> DataFrame:
     return df.repartition(want, *[F.col(k) for k in keys])
 
 
+def settled(df: DataFrame, *keys: str) -> DataFrame:
+    """``spread`` for a table that is read several times: where it has to be moved, it is moved once and written."""
+    wide = spread(df, *keys, per_core=1)
+    return df if wide is df else materialize(spread(df, *keys), "settled")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
