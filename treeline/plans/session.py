@@ -102,7 +102,7 @@ def spread(df: DataFrame, *keys: str, per_core: int = 3) -> DataFrame:
 def settled(df: DataFrame, *keys: str) -> DataFrame:
     """``spread`` for a table that is read several times: where it has to be moved, it is moved once and written."""
     wide = spread(df, *keys, per_core=1)
-    return df if wide is df else materialize(spread(df, *keys), "settled")
+    return df if wide is df else materialize(wide, "settled")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
