@@ -32,7 +32,7 @@ from treeline.llm import lexicon as L
 from treeline.llm.boost import Trees, isotonic
 from treeline.llm.boundaries import HEAD, LIST, SPEAKER, guarded
 from treeline.llm.sentences import Model, is_chat, load_model, share_model, split, train
-from treeline.plans.session import spread
+from treeline.plans.session import settled
 
 MAX_LABELLED = 6_000
 THRESHOLD = 0.5
@@ -283,7 +283,7 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Score of every document: doc_id, source, score (0..1), flagged (score >= THRESHOLD), and the strongest sentence's
     start_offset and end_offset (null without sentences). Null and empty texts score 0. Without usable labels the word
     lists alone decide."""
-    texts = spread(docs.select("doc_id", "text", "source_type"), "doc_id")
+    texts = settled(docs.select("doc_id", "text", "source_type"), "doc_id")
     model = train(texts)
     scorer = fit(labelled_sample(docs, labels), model)
     spark = docs.sparkSession

@@ -11,7 +11,7 @@ from treeline.llm.packing import fill_report, pack
 from treeline.llm.pieces import split_items
 from treeline.llm.sentences import sentences, train
 from treeline.llm.tokens import token_counts
-from treeline.plans.session import materialize, spread, table
+from treeline.plans.session import materialize, settled, table
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,8 +20,8 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    model = train(spread(docs.select("doc_id", "text", "source_type"), "doc_id"))
+    docs = settled(table(spark, sf_dir, "documents").select("doc_id", "text", "source_type"), "doc_id")
+    model = train(docs)
     both = [
         sentences(docs, model, ascii_marks=flag).withColumn("split_ascii_marks", F.lit(flag)) for flag in (True, False)
     ]

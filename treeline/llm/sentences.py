@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from treeline.llm.boundaries import SPACE, THAI, _EMOJI, count_words, first_word, gaps, units, word_gaps, word_key
-from treeline.plans.session import materialize, release, spread
+from treeline.plans.session import materialize, release, settled, spread
 
 MAX_TYPES = 400_000
 MAX_KEYS = 100_000
@@ -476,7 +476,8 @@ def sentences(docs: DataFrame, model: Model | None = None, ascii_marks: bool = T
     """Sentences of every row of (doc_id, text, source_type): doc_id, sentence_index (1-based), start_offset,
     end_offset, text. Null, empty and blank texts have none; a null source_type counts as plain text. Repeated rows
     give repeated results; other columns are ignored."""
-    docs = spread(docs.select("doc_id", "text", "source_type"), "doc_id")
+    docs = docs.select("doc_id", "text", "source_type")
+    docs = settled(docs, "doc_id") if model is None else spread(docs, "doc_id", per_core=1)
     model = train(docs) if model is None else model
     shared = share_model(docs.sparkSession, model)
 
