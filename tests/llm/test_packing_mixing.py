@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from treeline.llm.catalog import QUERIES
 from treeline.llm.mixing import mix
-from treeline.llm.packing import best_fit, fill_report, improve, pack
+from treeline.llm.packing import fill_report, improve, next_fit, pack
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -18,13 +18,28 @@ SMALL = "/root/testdata/sf0.001"
 @given(st.lists(st.integers(1, 100), min_size=1, max_size=60))
 def test_local_search_keeps_items_and_never_gets_worse(sizes):
     s = np.array(sizes)
-    before = best_fit(s, 100)
+    before = next_fit(s, 100)
     after = improve(s, before, 100)
     assert sorted(i for b in after for i in b) == list(range(len(s)))
     assert all(s[b].sum() <= 100 for b in after) and len(after) <= len(before)
     assert sum(int(s[b].sum()) ** 2 for b in after) >= sum(int(s[b].sum()) ** 2 for b in before)
 
 
+def test_swaps_empty_containers():
+    """From the unsorted fill the exchanges free containers, down to about the least possible number."""
+    rng = np.random.default_rng(5)
+    for low, capacity in ((1, 512), (1, 4096), (200, 512)):
+        s = np.minimum(rng.gamma(1.2, 200, 3_000).astype(int) + low, capacity - 1)
+        before = next_fit(s, capacity)
+        after = improve(s, before, capacity)
+        large = int((s > capacity / 2).sum())  # no two of these share a container
+        assert len(after) <= max(-(-int(s.sum()) // capacity), large) * (1.001 if low == 1 else 1.06) + 1
+        assert len(before) - len(after) > 0.03 * len(before)
+    same = np.array([130] * 600 + [252, 122] * 100)  # a crowd of equal sizes hides no exchange
+    assert len(improve(same, next_fit(same, 512), 512)) == 234  # three of 130 with each 122, two with each 252
+    assert len(improve(np.full(50, 300), next_fit(np.full(50, 300), 512), 512)) == 50
+
+
 def test_local_search_finds_the_exchange():
     s = np.array([60, 50, 50, 40])
     assert sorted(map(sorted, improve(s, [[0, 1 - 1]] and [[0], [1, 3], [2]], 100))) in ([[0, 3], [1, 2]],)

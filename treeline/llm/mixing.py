@@ -1,10 +1,12 @@
 """Mixing sources to target weights (problem 7).
 
-Method: entropy balancing. Each text gets a rate r = M * s(lambda * x) with x its tokens over its source's mean, M the source's
-``max_repeats`` and s the logistic function: the exponentially tilted rates that are nearest, in bounded relative entropy, to the
-even rate M/2 among all that meet the source's token constraint. One lambda per source solves the convex dual; distributed
-Newton iterations aggregate the constraint and its derivative over the (pre-aggregated) token sizes. Rates are rounded
-into copies by systematic rounding over the texts in order of size, so a source misses its tokens by about one text.
+Method: entropy balancing. Of all rates in [0, ``max_repeats``] that give each source its tokens, those nearest in relative entropy to
+one copy of every text are exponentially tilted: r = min(max_repeats, exp(lambda * x)), x the text's tokens over its source's
+mean. One lambda per source solves the convex dual; distributed Newton iterations (one job each, all sources at once)
+aggregate the constraint and its derivative over the (pre-aggregated) token sizes. Rates are rounded into copies by
+systematic rounding over the texts in order of size. As rounding a text misses up to half of it, large texts (``LARGE``, shares
+of the source's tokens) are rounded first and the rates of the smaller ones solved again for what is left; what is still
+missed is made up by texts of that size, one more or one copy less, until no text brings it nearer (``repair``).
 
 The total is the largest that all constraints allow (or ``total_tokens``). Equal texts are one text, whatever document
 or source they are in: it belongs to the document with the least id, so no text is used more than max_repeats times.
@@ -22,9 +24,9 @@ from treeline.llm.tokens import TOKENIZER, token_counts
 from treeline.plans.session import materialize
 from treeline.plans.skew import prefix_sums
 
-NEWTON_ROUNDS = 40
-HEADROOM = 0.995
-LEVELS = (0.05, 0.005, 0.0)
+MOST_ROUNDS = 400
+NEAR = 1e-7
+LARGE = (0.05, 0.005, 0.0)
 
 
 def distinct_texts(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
@@ -37,88 +39,126 @@ def distinct_texts(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     return one.select("r.doc_id", "r.source", "r.n_tokens").where("source is not null and n_tokens > 0")
 
 
-def solve(sizes: DataFrame, goals: dict[str, tuple[int, float, float]]) -> dict[str, float]:
-    """Newton on the dual, all sources at once. ``sizes``: (source, n_tokens, n texts); ``goals``: source -> (max_repeats,
-    tokens wanted, mean tokens). Steps that leave the bracket fall back to halving it."""
-    low = dict.fromkeys(goals, -60.0)
-    high = dict.fromkeys(goals, 60.0)
+def solve(sizes: DataFrame, goals: dict[str, tuple[int, float, float, float]]) -> dict[str, float]:
+    """Newton on the dual, all sources at once. ``sizes``: (source, n_tokens, n texts); ``goals``: source -> (max_repeats, tokens
+    wanted, mean tokens, least tokens). Steps (in the logarithm of the constraint) that leave the bracket halve it."""
+    high = {s: math.log(m) * mean / least + 1.0 for s, (m, _, mean, least) in goals.items()}
+    low = {s: -700.0 * mean / least for s, (_, _, mean, least) in goals.items()}
     lam = dict.fromkeys(goals, 0.0)
-    rows = [(s, float(m), float(mean)) for s, (m, _, mean) in goals.items()]
+    open_ = {s for s, g in goals.items() if g[1] > 0}
     spark = sizes.sparkSession
-    for _ in range(NEWTON_ROUNDS):
-        table = F.broadcast(spark.createDataFrame([(*r, lam[r[0]]) for r in rows], "source string, m double, mean double, lam double"))
+    for _ in range(MOST_ROUNDS):
+        if not open_:
+            return lam
+        rows = [(s, float(goals[s][0]), goals[s][2], lam[s]) for s in sorted(open_)]
+        table = F.broadcast(spark.createDataFrame(rows, "source string, m double, mean double, lam double"))
         x = F.col("n_tokens") / F.col("mean")
-        p = 1 / (1 + F.exp(-F.col("lam") * x))
+        rate = F.exp(F.least(F.col("lam") * x, F.log("m")))
+        tokens = F.col("n") * F.col("n_tokens") * rate
         got = (
             sizes.join(table, "source")
-            .select("source", (F.col("n") * F.col("m") * F.col("n_tokens") * p).alias("f"), (F.col("n") * F.col("m") * F.col("n_tokens") * x * p * (1 - p)).alias("d"))
+            .select("source", tokens.alias("f"), F.when(rate < F.col("m"), tokens * x).otherwise(0.0).alias("d"))
             .groupBy("source")
             .agg(F.sum("f").alias("f"), F.sum("d").alias("d"))
             .collect()
         )
-        worst = 0.0
+        open_ &= {r[0] for r in got}  # a source may have no texts of these sizes
         for s, f, d in got:
-            miss = goals[s][1] - f
-            if high[s] - low[s] > 1e-2:  # a goal out of reach ends at the edge
-                worst = max(worst, abs(miss) / max(goals[s][1], 1.0))
-            if miss > 0:
+            want = goals[s][1]
+            if abs(want - f) <= NEAR * want or (want > f and lam[s] == high[s]) or high[s] - low[s] < 1e-12 * max(1.0, abs(low[s])):
+                open_.discard(s)  # met, or all texts at most copies
+                continue
+            if want > f:
                 low[s] = lam[s]
             else:
                 high[s] = lam[s]
-            step = lam[s] + miss / d if d > 0 else math.inf
-            lam[s] = step if low[s] < step < high[s] else (low[s] + high[s]) / 2
-        if worst < 1e-4:
-            break
-    return lam
+            step = lam[s] + f * math.log(want / f) / d if d > 0 and f > 0 else math.inf
+            edge = want > f and step >= high[s]  # would need more than all copies of all: see whether that is enough
+            lam[s] = step if low[s] < step < high[s] else high[s] if edge else (low[s] + high[s]) / 2
+    raise RuntimeError(f"no rates found for {sorted(open_)}")
 
 
-def chosen_copies(texts: DataFrame, sizes: DataFrame, goals: dict[str, tuple[int, float, float]]) -> DataFrame:
-    """Rates and their rounding, large texts first: of each source the texts above a share of its goal are rounded, then the
-    rates of the smaller ones are balanced again to what is left, so a miss is about half a text of the last level."""
+def chosen_copies(texts: DataFrame, sizes: DataFrame, goals: dict[str, tuple[int, float, float, float]]) -> DataFrame:
+    """Rates and their rounding: (doc_id, source, n_tokens, copies >= 1)."""
     spark = texts.sparkSession
-    schema = "source string, m double, mean double, lam double, over double, upto double"
-    limit = dict.fromkeys(goals, math.inf)
-    wanted, parts = dict(goals), []
-    for share in LEVELS:
-        upto = spark.createDataFrame([(s, limit[s]) for s in wanted], "source string, upto double")
-        lam = solve(sizes.join(F.broadcast(upto), "source").where("n_tokens <= upto").drop("upto"), wanted) if wanted else {}
-        over = {s: share * goals[s][1] for s in wanted}
-        table = spark.createDataFrame([(s, float(m), mean, lam[s], over[s], limit[s]) for s, (m, _, mean) in wanted.items()], schema)
-        rated = texts.join(F.broadcast(table), "source").where("n_tokens > over and n_tokens <= upto").withColumn(
-            "rate", F.col("m") / (1 + F.exp(-F.col("lam") * F.col("n_tokens") / F.col("mean")))
-        )
-        whole = F.floor("rate")
+    wanted = {s: g[1] for s, g in goals.items()}
+    upto = dict.fromkeys(goals, math.inf)
+    parts = []
+    for share in LARGE:
+        left = {s: (m, max(wanted[s], 0.0), mean, least) for s, (m, _, mean, least) in goals.items()}
+        limit = F.broadcast(spark.createDataFrame([(s, upto[s]) for s in goals], "source string, upto double"))
+        lam = solve(sizes.join(limit, "source").where("n_tokens <= upto").drop("upto"), left)
+        over = {s: share * g[1] for s, g in goals.items()}
+        rows = [(s, float(m), mean, lam[s], want > 0, over[s], upto[s]) for s, (m, want, mean, _) in left.items()]
+        table = spark.createDataFrame(rows, "source string, m double, mean double, lam double, open boolean, over double, upto double")
+        rate = F.when(F.col("open"), F.exp(F.least(F.col("lam") * F.col("n_tokens") / F.col("mean"), F.log("m")))).otherwise(0.0)
+        rated = texts.join(F.broadcast(table), "source").where("n_tokens > over and n_tokens <= upto").withColumn("rate", rate)
+        whole = F.floor(F.col("rate") + 1e-9)
         part = rated.select(
-            "doc_id", "source", "n_tokens", whole.alias("whole"), F.round((F.col("rate") - whole) * (1 << 30)).cast("long").alias("frac")
-        )
+            "doc_id", "source", "n_tokens", F.col("m").cast("int").alias("m"), whole.alias("whole"),
+            F.greatest(F.round((F.col("rate") - whole) * (1 << 30)), F.lit(0)).cast("long").alias("frac"),
+        )
         order = [F.col("n_tokens").desc(), F.xxhash64("doc_id"), F.col("doc_id")]
         summed = prefix_sums(part, "source", order, {"before": F.col("frac")})
         half, one = F.lit(1 << 29), F.lit(1 << 30)
         extra = F.floor((F.col("before") + F.col("frac") + half) / one) - F.floor((F.col("before") + half) / one)
-        copies = summed.withColumn("copies", (F.col("whole") + extra).cast("int")).where("copies > 0")
-        done = materialize(copies.select("doc_id", "source", "n_tokens", "copies"), "copies")
-        parts.append(done)
-        got = {r[0]: r[1] for r in done.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies"))).collect()}
-        wanted = {s: (m, t - got.get(s, 0), mean) for s, (m, t, mean) in wanted.items() if t - got.get(s, 0) > 0}
-        limit = over
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+        copies = summed.withColumn("copies", F.least((F.col("whole") + extra).cast("int"), F.col("m")))
+        parts.append(materialize(copies.select("doc_id", "source", "n_tokens", "copies", "m"), "copies"))
+        for r in parts[-1].groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("t")).collect():
+            wanted[r.source] -= r.t
+        upto = over
+    every = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return repair(every, {s: g[1] for s, g in goals.items()}).where("copies > 0").drop("m")
+
+
+def repair(copies: DataFrame, wanted: dict[str, float]) -> DataFrame:
+    """One copy more or less of single texts, the one of each source that brings it nearest, until none does.
+
+    A pass finds those texts in one job over the counts per size; a source's miss shrinks to below half of what it was or the
+    source is done, so there are few passes and at most as many changed texts as passes and sources."""
+    spark = copies.sparkSession
+    counts = materialize(copies.groupBy("source", "n_tokens", "copies", "m").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("doc_id")), "counts")
+    got = {r[0]: float(r[1]) for r in counts.groupBy("source").agg(F.sum(F.col("n") * F.col("n_tokens") * F.col("copies"))).collect()}
+    miss = {s: t - got.get(s, 0.0) for s, t in wanted.items()}
+    changed: dict[tuple, int] = {}
+    open_ = set(miss)
+    schema = "source string, miss double"
+    while open_:
+        table = F.broadcast(spark.createDataFrame([(s, miss[s]) for s in sorted(open_)], schema))
+        able = F.when(F.col("miss") > 0, F.col("copies") < F.col("m")).otherwise(F.col("copies") > 0)
+        taken = [d for _, d in changed]
+        free = ~F.col("doc_id").isin(taken) if taken else F.lit(True)  # a size whose first text is changed already is left out
+        near = (
+            counts.join(table, "source").where(able & free)
+            .withColumn("left", F.abs(F.abs("miss") - F.col("n_tokens")))
+            .where(F.col("left") < F.abs("miss") / 2)
+            .groupBy("source").agg(F.min(F.struct("left", "doc_id", "n_tokens")).alias("r")).select("source", "r.doc_id", "r.n_tokens").collect()
+        )
+        open_ = {r.source for r in near}
+        for r in near:
+            step = 1 if miss[r.source] > 0 else -1
+            changed[r.source, r.doc_id] = step
+            miss[r.source] -= step * r.n_tokens
+    if not changed:
+        return copies
+    id_type = copies.schema["doc_id"].dataType.simpleString()
+    steps = F.broadcast(spark.createDataFrame([(d, k) for (_, d), k in changed.items()], f"doc_id {id_type}, step int"))
+    fixed = copies.join(steps, "doc_id", "left").withColumn("copies", F.col("copies") + F.coalesce("step", F.lit(0)))
+    return materialize(fixed.drop("step"), "copies")
 
 
 def plan(sizes: DataFrame, targets: DataFrame, total_tokens: float | None = None) -> tuple[list[dict], dict]:
     """Targets of every listed source and the goals of those that take part and have texts. ``targets`` is a small fixed table."""
-    have = {r.source: (r.tokens, r.texts) for r in sizes.groupBy("source").agg(F.sum(F.col("n") * F.col("n_tokens")).alias("tokens"), F.sum("n").alias("texts")).join(F.broadcast(targets.select(source_name(F.col("source")).alias("source")).distinct()), "source").collect()}
+    have = {r.source: (r.tokens, r.texts, r.least) for r in sizes.groupBy("source").agg(F.sum(F.col("n") * F.col("n_tokens")).alias("tokens"), F.sum("n").alias("texts"), F.min("n_tokens").alias("least")).join(F.broadcast(targets.select(source_name(F.col("source")).alias("source")).distinct()), "source").collect()}
     rows = targets.select(source_name(F.col("source")).alias("source"), "target_weight", "max_repeats").collect()
     weight = {r.source: r.target_weight if r.target_weight and r.target_weight > 0 else 0.0 for r in rows}
     scale = sum(weight.values()) or 1.0
     live = {r.source for r in rows if weight[r.source] and r.source in have and (r.max_repeats or 0) > 0}
     reach = sum(weight[s] for s in live) or 1.0
     cap = {r.source: r.max_repeats or 0 for r in rows}
-    most = min((cap[s] * have[s][0] / (weight[s] / reach) for s in live), default=0.0) * HEADROOM
+    most = min((cap[s] * have[s][0] / (weight[s] / reach) for s in live), default=0.0)
     total = min(most, total_tokens) if total_tokens else most
-    goals = {s: (cap[s], total * weight[s] / reach, have[s][0] / have[s][1]) for s in sorted(live)}
+    goals = {s: (cap[s], total * weight[s] / reach, have[s][0] / have[s][1], float(have[s][2])) for s in sorted(live)}
     listed = [
         {"source": r.source, "target_share": weight[r.source] / scale, "reachable_share": weight[r.source] / reach if r.source in live else 0.0, "max_repeats": cap[r.source]}
         for r in rows

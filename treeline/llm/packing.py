@@ -1,16 +1,17 @@
 """Filling fixed-capacity containers with items (problem 6).
 
 Method: swap-based local search. Items are dealt into groups of about ``GROUP_ITEMS`` by hash (so groups are even whatever the
-data), and each group is filled best-fit in falling size and then improved: an underfull container takes an item of another
-one, exchanges one for one, or two of its own for one, always so that the sum of squared fills grows; containers
-that run empty vanish. The items of containers that stay underfull are pooled over groups and searched again.
+data) and filled in the order they come (next fit). Then documents are exchanged between underfull containers: one takes a document
+of another one, or exchanges one for one, or two of its own for one, always the exchange that fills it most; each raises the
+sum of squared fills, so containers get full and the emptiest run empty and vanish. Passes go on until one finds no
+exchange; only then two documents are taken for one or none, as they use up the small ones. Every size that occurs outside is looked at for every document and every pair inside; nothing is capped.
+Containers that are still not full are pooled over groups, dealt anew and searched again, until a round frees none.
 An item larger than the capacity is divided: its full parts fill containers of their own, its rest is an item.
 """
 
 from __future__ import annotations
 
-import bisect
-from itertools import combinations
+from collections import defaultdict
 
 import numpy as np
 import pandas as pd
@@ -20,84 +21,126 @@ from pyspark.sql import functions as F
 from treeline.plans.session import materialize
 
 GROUP_ITEMS = 4_000
-POOL_ROUNDS = 2
-PASSES = 6
-LOOK = 48
 _OUT = "pack_name string, capacity long, container_id string, doc_id {id}, piece_no int, token_start long, n_tokens long, fill long"
 
 
-def best_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:
-    """Best fit in falling size: containers as lists of item positions."""
+def next_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:
+    """Containers filled in the order of the items: lists of item positions. None gets full by chance: a full one is out of
+    the search, whatever small items it has used up."""
     bins: list[list[int]] = []
-    rooms: list[tuple[int, int]] = []
-    for i in np.argsort(-sizes, kind="stable"):
-        s = int(sizes[i])
-        k = bisect.bisect_left(rooms, (s, -1))
-        if k < len(rooms):
-            room, b = rooms.pop(k)
-            bins[b].append(int(i))
-        else:
-            room, b = capacity, len(bins)
-            bins.append([int(i)])
-        if room > s:
-            bisect.insort(rooms, (room - s, b))
+    room = -1
+    for i, s in enumerate(sizes.tolist()):
+        if s >= room:
+            bins.append([])
+            room = capacity
+        bins[-1].append(i)
+        room -= s
     return bins
 
 
-def improve(sizes: np.ndarray, bins: list[list[int]], capacity: int, passes: int = PASSES) -> list[list[int]]:
+def improve(sizes: np.ndarray, bins: list[list[int]], capacity: int) -> list[list[int]]:
     """Local search: moves and exchanges that increase the sum of squared fills, until a pass finds none."""
     size = sizes.tolist()
-    order = sorted(range(len(size)), key=lambda i: (size[i], i))
-    ranked = [size[i] for i in order]
-    home = {i: b for b, items in enumerate(bins) for i in items}
     held = [set(items) for items in bins]
     fill = [sum(size[i] for i in items) for items in bins]
-
-    def take(b: int, out: tuple[int, ...]) -> bool:
-        """Best exchange of ``out`` (items of b, maybe none) for one item of another container."""
-        give = sum(size[i] for i in out)
-        k = bisect.bisect_right(ranked, give + capacity - fill[b]) - 1
-        for j in range(k, max(-1, k - LOOK), -1):
-            gain = ranked[j] - give
-            if gain <= 0:
-                return False
-            i = order[j]
-            other = home[i]
-            # 2 * gain * (fill[b] - fill[other] + gain) is the growth of the sum of squares
-            if other != b and fill[b] + gain > fill[other]:
-                held[other].discard(i)
-                held[b].add(i)
-                home[i] = b
-                for x in out:
-                    held[b].discard(x)
-                    held[other].add(x)
-                    home[x] = other
-                fill[b] += gain
-                fill[other] -= gain
-                return True
-        return False
-
-    for _ in range(passes):
+    home = {i: b for b, items in enumerate(bins) for i in items}
+    free: dict[int, set[int]] = defaultdict(set)  # items by size in containers that may give
+    mask = 0  # bit s: an item of size s may be taken
+
+    def offer(i: int) -> None:
+        nonlocal mask
+        free[size[i]].add(i)
+        mask |= 1 << size[i]
+
+    def withdraw(i: int) -> None:
+        nonlocal mask
+        free[size[i]].discard(i)
+        if not free[size[i]]:
+            mask &= ~(1 << size[i])
+
+    def largest(upto: int) -> int:
+        """Greatest size on offer that is at most ``upto``; -1 if there is none."""
+        return (mask & ((2 << upto) - 1)).bit_length() - 1 if upto > 0 else -1
+
+    def best(b: int, room: int) -> tuple[int, tuple[int, ...], tuple[int, ...]]:
+        """Greatest gain of one exchange, the sizes that b gives and those it takes."""
+        x = largest(room)
+        gain, out, into = (x, (), (x,)) if x > 0 else (0, (), ())
+        if gain == room or not mask:
+            return gain, out, into
+        own = sorted((size[i] for i in held[b]), reverse=True)
+        gives = [(x,) for x in dict.fromkeys(own)]
+        gives += dict.fromkeys((x, y) for k, x in enumerate(own) for y in own[k + 1 :])
+        for give in gives:
+            t = sum(give)
+            x = largest(t + room)
+            if x - t > gain:
+                gain, out, into = x - t, give, (x,)
+                if gain == room:
+                    return gain, out, into
+        offered = [s for s in free if free[s]] if late else []
+        for give in [(), *gives[: len(dict.fromkeys(own))]]:
+            t = sum(give) + room
+            for x in offered:
+                y = largest(min(t - x, x))
+                if y > 0 and x + y - t + room > gain and (x != y or len(free[x]) > 1):
+                    gain, out, into = x + y - t + room, give, (x, y)
+                    if gain == room:
+                        return gain, out, into
+        return gain, out, into
+
+    changed, late = True, False
+    while changed or not late:
+        late = late or not changed
         changed = False
-        for b in sorted(range(len(bins)), key=lambda b: -fill[b]):
-            while 0 < fill[b] < capacity:
-                own = sorted(held[b], key=lambda i: (size[i], i))
-                ones = own if len(own) <= LOOK else own[: LOOK // 2] + own[-LOOK // 2 :]
-                pairs = combinations(ones[:16], 2)
-                if take(b, ()) or any(take(b, (a,)) for a in ones) or any(take(b, p) for p in pairs):
-                    changed = True
-                else:
+        # those with the largest documents first, as they have the fewest partners; once that ends, the fullest first
+        front = [fill[b] if late else max((size[i] for i in held[b]), default=0) for b in range(len(bins))]
+        open_bins = sorted((b for b in range(len(bins)) if 0 < fill[b] < capacity), key=lambda b: (-front[b], -fill[b], b))
+        free.clear()
+        mask = 0
+        for b in open_bins:
+            for i in held[b]:
+                offer(i)
+        for b in open_bins:  # from the fullest on; those behind it give
+            for i in held[b]:
+                withdraw(i)
+            while fill[b] and fill[b] < capacity:
+                gain, out, into = best(b, capacity - fill[b])
+                if gain <= 0:
                     break
-        if not changed:
-            break
+                taken: list[int] = []
+                for x in into:  # of the documents of that size the one in the emptiest container
+                    taken.append(min((i for i in free[x] if i not in taken), key=lambda j: (fill[home[j]], j)))
+                moved = [(i, home[i], b) for i in taken]
+                for x in out:  # what is given goes where the largest document came from
+                    moved.append((next(j for j in held[b] if size[j] == x and all(j != m[0] for m in moved)), b, home[taken[0]]))
+                touched = {m[1] for m in moved} | {b}
+                before = sum(fill[k] ** 2 for k in touched)
+                for i, old, new in moved:
+                    held[old].discard(i)
+                    held[new].add(i)
+                    fill[old] -= size[i]
+                    fill[new] += size[i]
+                    home[i] = new
+                if sum(fill[k] ** 2 for k in touched) <= before or any(fill[k] > capacity for k in touched):
+                    for i, old, new in moved:
+                        held[new].discard(i)
+                        held[old].add(i)
+                        fill[new] -= size[i]
+                        fill[old] += size[i]
+                        home[i] = old
+                    break
+                for i, _, new in moved:
+                    withdraw(i) if new == b else offer(i)
+                changed = True
     return [sorted(items) for items in held if items]
 
 
 def _search(tag: str):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["n_tokens", "doc_id", "piece_no"]).reset_index(drop=True)
+        pdf = pdf.sort_values(["deal", "doc_id", "piece_no"]).reset_index(drop=True)
         sizes, capacity = pdf["n_tokens"].to_numpy(), int(pdf["capacity"].iat[0])
-        bins = improve(sizes, best_fit(sizes, capacity), capacity)
+        bins = improve(sizes, next_fit(sizes, capacity), capacity)
         where, full = np.zeros(len(pdf), int), np.zeros(len(pdf), int)
         for b, items in enumerate(bins):
             where[items], full[items] = b, int(sizes[items].sum())
@@ -110,7 +153,14 @@ def _search(tag: str):
     return run
 
 
-def pack(items: DataFrame, limits: DataFrame, group_items: int = GROUP_ITEMS, rounds: int = POOL_ROUNDS) -> DataFrame:
+def _open(packed: DataFrame) -> tuple[int, int]:
+    """Containers that are not full, and the most items of one capacity in them."""
+    per = packed.where("fill < capacity").groupBy("pack_name").agg(F.count_distinct("container_id").alias("c"), F.count(F.lit(1)).alias("n"))
+    c, n = per.agg(F.sum("c"), F.max("n")).first()
+    return c or 0, n or 0
+
+
+def pack(items: DataFrame, limits: DataFrame, group_items: int = GROUP_ITEMS) -> DataFrame:
     """Fill containers of every capacity with (doc_id, n_tokens): pack_name, capacity, container_id, doc_id, piece_no,
     token_start, n_tokens, fill (tokens in the container).
 
@@ -141,21 +191,20 @@ def pack(items: DataFrame, limits: DataFrame, group_items: int = GROUP_ITEMS, ro
         F.lit(None).cast("string").alias("container_id"), F.lit(None).cast("long").alias("fill"),
     )
     rest, settled = parts.where(~own), [full, nothing]
-    n = sized.where("n_tokens > 0").count()
-    for r in range(rounds + 1):
+    n, last, r = sized.where("n_tokens > 0").count(), None, 0
+    while n:
         groups = max(1, -(-n // group_items))
-        grouped = rest.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece_no", F.lit(r)), F.lit(groups)).cast("int"))
+        deal = F.xxhash64("doc_id", "piece_no", F.lit(r))
+        grouped = rest.withColumns({"deal": deal, "grp": F.pmod(deal, F.lit(groups)).cast("int")})
         schema = _OUT.format(id=id_type)
         done = materialize(grouped.groupBy("pack_name", "grp").applyInPandas(_search(f"r{r}"), schema), "packed")
-        if groups == 1 or r == rounds:
+        slack = F.col("fill") < F.col("capacity")
+        n_open, n = _open(done)
+        if groups == 1 or not n or (last is not None and n_open >= last):  # everything met, or dealing anew frees nothing more
             settled.append(done)
             break
-        tight = F.col("fill") >= F.col("capacity") * 0.995
-        settled.append(done.where(tight))
-        rest = done.where(~tight).drop("container_id", "fill")
-        n = rest.groupBy("pack_name").count().agg(F.max("count")).first()[0] or 0
-        if not n:
-            break
+        settled.append(done.where(~slack))
+        rest, last, r = done.where(slack).drop("container_id", "fill"), n_open, r + 1
     out = settled[0]
     for part in settled[1:]:
         out = out.unionByName(part)
