@@ -25,7 +25,7 @@ from treeline.plans.session import materialize
 from treeline.plans.skew import prefix_sums
 
 MOST_ROUNDS = 400
-NEAR = 1e-7
+NEAR = 1e-5
 LARGE = (0.05, 0.005, 0.0)
 
 
@@ -57,7 +57,7 @@ def solve(sizes: DataFrame, goals: dict[str, tuple[int, float, float, float]]) -
         tokens = F.col("n") * F.col("n_tokens") * rate
         got = (
             sizes.join(table, "source")
-            .select("source", tokens.alias("f"), F.when(rate < F.col("m"), tokens * x).otherwise(0.0).alias("d"))
+            .select("source", tokens.alias("f"), F.when(F.col("lam") * x <= F.log("m"), tokens * x).otherwise(0.0).alias("d"))
             .groupBy("source")
             .agg(F.sum("f").alias("f"), F.sum("d").alias("d"))
             .collect()
