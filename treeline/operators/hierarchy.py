@@ -7,6 +7,7 @@ round, so a tree of depth D takes about log2(D) rounds and not D: after round k
 nodes on a circle or below one. The upward pass has ended when a round leaves the set of nodes with a farther ancestor
 as large as it was: depths have no gaps, so what is left then is exactly the cyclic part.
 
+A round moves only the rows that still have somewhere to go; finished rows stay where they were written.
 State per round is a table in the shared scratch folder; nothing but counters and hot-key lists (at most 1000 keys)
 reaches the driver. Join targets are internal nodes only. A parent with very many children is hot: its children get
 their prefix sums by ranges and meet its row by broadcast (see ``plans.skew``).
@@ -14,7 +15,7 @@ their prefix sums by ranges and meet its row by broadcast (see ``plans.skew``).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from treeline.functions.columns import clean_ref
@@ -31,38 +32,37 @@ def node_links(nodes: DataFrame, deletions: DataFrame, columns: list[str] | None
     return live_rows(nodes, deletions, "node", keep).withColumn("parent_id", clean_ref(F.col("parent_id")))
 
 
-def subtree_sizes(links: DataFrame) -> tuple[DataFrame, list[list[str]]]:
-    """Upward pass over (id, anc): (id, anc, size), anc non-null only for the cyclic part; hot targets per round.
+def subtree_sizes(links: DataFrame) -> tuple[DataFrame, DataFrame, list[list[str]]]:
+    """Upward pass over (id, anc): (id, size) of all, the ids of the cyclic part, and the hot targets of each round.
 
-    ``links`` holds each id once; ``anc`` is the parent where that is a known id, else null.
+    ``links`` holds each id once; ``anc`` is the parent where that is a known id, else null. A round moves only rows that
+    still have a farther ancestor; what internal nodes gain is kept per round and summed up once at the end.
     """
-    state = materialize(links.select("id", "anc", F.lit(1).cast("long").alias("size")), "up")
-    total = state.count()
-    limit, hot_rounds, active = hot_limit(total), [], []
+    total = links.count()
+    limit, hot_rounds, counts, gains = hot_limit(total), [], [], []
+    one = F.lit(1).cast("long").alias("size")
+    active = materialize(links.where(F.col("anc").isNotNull()).select("id", "anc", one), "up")
     while True:
-        now = state.where(F.col("anc").isNotNull()).count()
-        if now == 0 or active[-1:] == [now]:
-            return state, [hot for hot, n in zip(hot_rounds, active) if n > now]
-        active.append(now)
-        gained = materialize(
-            state.where(F.col("anc").isNotNull())
-            .groupBy("anc")
-            .agg(F.sum("size").alias("gain"), F.count(F.lit(1)).alias("n")),
-            "gain",
-        )
+        now = active.count()
+        if now == 0 or counts[-1:] == [now]:
+            break
+        counts.append(now)
+        gained = materialize(active.groupBy("anc").agg(F.sum("size").alias("gain"), F.count(F.lit(1)).alias("n")), "gain")
         hot = [r[0] for r in gained.where(F.col("n") > limit).select("anc").collect()] if now > limit else []
         hot_rounds.append(hot)
         gain = gained.select(F.col("anc").alias("id"), "gain")
-        targets = gain.join(state.select("id", F.col("anc").alias("next")), "id").select(
-            F.col("id").alias("anc"), "next"
-        )
-        moved = lookup(state.join(gain, "id", "left"), targets, "anc", hot=hot)
-        fresh = materialize(
-            moved.select("id", F.col("next").alias("anc"), (F.col("size") + F.coalesce("gain", F.lit(0))).alias("size")),
-            "up",
-        )
-        release(state, gained)
-        state = fresh
+        gains.append(gain)
+        # targets with a farther ancestor; a row whose target has none is done
+        targets = active.select("id", F.col("anc").alias("next")).join(gain.select("id"), "id", "left_semi").withColumnRenamed("id", "anc")
+        moved = lookup(active.join(gain, "id", "left"), targets, "anc", how="inner", hot=hot)
+        fresh = materialize(moved.select("id", F.col("next").alias("anc"), (F.col("size") + F.coalesce("gain", F.lit(0))).alias("size")), "up")
+        release(active)
+        active = fresh
+    every = links.select("id", one)
+    for gain in gains:
+        every = every.unionAll(gain)
+    sizes = every.groupBy("id").agg(F.sum("size").alias("size"))
+    return sizes, active.select("id"), [hot for hot, n in zip(hot_rounds, counts) if n > now]
 
 
 def hierarchy(links: DataFrame, with_path: bool = True, hot_rows: int | None = None) -> DataFrame:
@@ -75,7 +75,8 @@ def hierarchy(links: DataFrame, with_path: bool = True, hot_rows: int | None = N
     Detached rows are addressed within their fragment, whose top counts as its root. Null parent = root; a null
     sort_order comes last among siblings; equal ones are ordered by id. An empty table gives an empty result.
     """
-    base = materialize(links.select("id", "parent_id", "sort_order"), "links")
+    base = links.select("id", "parent_id", "sort_order")
+    base = base if hasattr(links, "_treeline_path") else materialize(base, "links")
     known = base.select(F.col("id").alias("anc"), F.lit(True).alias("known"))
     own = lookup(base.withColumn("anc", F.col("parent_id")), known, "anc")
     linked = materialize(
@@ -85,9 +86,8 @@ def hierarchy(links: DataFrame, with_path: bool = True, hot_rows: int | None = N
         ),
         "links",
     )
-    sized, hot_rounds = subtree_sizes(linked.select("id", "anc"))
-    sizes = sized.select("id", "size", F.col("anc").isNotNull().alias("cyclic"))
-    placed = linked.join(sizes, "id").where(~F.col("cyclic"))
+    sizes, cyclic, hot_rounds = subtree_sizes(linked.select("id", "anc"))
+    placed = linked.join(sizes, "id").join(cyclic, "id", "left_anti")
     group = F.coalesce("anc", F.lit("\0roots"))
     order = [F.col("sort_order").asc_nulls_last(), F.col("id").asc()]
     # roots of all trees are one row of siblings: their ranges follow one another, ordered by id
@@ -104,40 +104,38 @@ def hierarchy(links: DataFrame, with_path: bool = True, hot_rows: int | None = N
         ),
         "down",
     )
+    finished, active = [state.where(F.col("ptr").isNull())], state.where(F.col("ptr").isNotNull())
     for hot in hot_rounds:
-        targets = state.join(
-            state.where(F.col("ptr").isNotNull()).select(F.col("ptr").alias("id")).distinct(), "id", "left_semi"
-        )
-        targets = targets.select(
+        asked = active.select(F.col("ptr").alias("id")).distinct()
+        inner = active
+        for part in finished:
+            inner = inner.unionByName(part)
+        targets = inner.where("size > 1").join(asked, "id", "left_semi").select(
             F.col("id").alias("ptr"), F.col("ptr").alias("p2"), F.col("root_id").alias("r2"), F.col("lft").alias("l2"),
             F.col("address").alias("a2"), F.col("depth").alias("d2"), F.col("loose").alias("o2"),
             *([F.col("path").alias("h2")] if with_path else []),
         )
-        met = lookup(state, targets, "ptr", hot=hot)
-        reach = F.col("d2").isNotNull()
-
-        def joined(a: str, b: str, sep: str) -> Column:
-            return F.when(reach, F.concat(F.col(a), F.lit(sep), F.col(b))).otherwise(F.col(b))
-
+        met = lookup(active, targets, "ptr", how="inner", hot=hot)
         fresh = materialize(
             met.select(
-                "id", F.col("p2").alias("ptr"), F.coalesce("r2", "root_id").alias("root_id"), "size",
-                F.coalesce("o2", "loose").alias("loose"),
-                (F.col("lft") + F.coalesce("l2", F.lit(0))).alias("lft"),
-                joined("a2", "address", "-").alias("address"),
-                (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"),
-                *([joined("h2", "path", "/").alias("path")] if with_path else []),
+                "id", F.col("p2").alias("ptr"), F.col("r2").alias("root_id"), "size", F.col("o2").alias("loose"),
+                (F.col("lft") + F.col("l2")).alias("lft"), F.concat_ws("-", "a2", "address").alias("address"),
+                (F.col("depth") + F.col("d2")).alias("depth"),
+                *([F.concat_ws("/", "h2", "path").alias("path")] if with_path else []),
             ),
             "down",
         )
-        release(state)
-        state = fresh
+        finished.append(fresh.where(F.col("ptr").isNull()))
+        active = fresh.where(F.col("ptr").isNotNull())
+    state = active  # empty by now
+    for part in finished:
+        state = state.unionByName(part)
     done = state.select(
         "id", F.when(F.col("loose"), "detached").otherwise("ok").alias("state"), "root_id", "address", "depth",
         "lft", (F.col("lft") + F.col("size") - 1).alias("rgt"), (F.col("size") - 1).alias("n_descendants"),
         *(["path"] if with_path else []),
     )
-    never = sizes.where("cyclic").select("id", F.lit("cycle").alias("state"))
+    never = cyclic.select("id", F.lit("cycle").alias("state"))
     return done.unionByName(never, allowMissingColumns=True)
 
 

@@ -46,7 +46,7 @@ def references(source_spans: DataFrame, axiom_refs: DataFrame) -> DataFrame:
     )
 
 
-def orphan_nodes(links: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def orphan_nodes(links: DataFrame) -> DataFrame:
     """Fixpoint over (id, parent_id): (id, orphan_kind, hops). Direct: the parent is no live row; inherited: an ancestor is
     such a node, ``hops`` links above. Nodes on circles have all their parents and are no orphans."""
     ids = links.select(F.col("id").alias("parent_id"), F.lit(True).alias("here"))
@@ -57,9 +57,9 @@ def orphan_nodes(links: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     first = met.where(F.col("here").isNull()).select("id", F.lit("direct").alias("orphan_kind"), F.lit(0).alias("hops"))
     rounds = [materialize(first.hint("rebalance"), "direct")]
     found = rounds[0].count()
-    for hop in range(1, max_rounds):
-        if not found:
-            break
+    hop = 0
+    while found:  # ends: what hangs on a missing parent has no circles
+        hop += 1
         last = rounds[-1].select(F.col("id").alias("parent_id"))
         below = edges.join(last, "parent_id", "left_semi")
         below = below.select("id", F.lit("inherited").alias("orphan_kind"), F.lit(hop).alias("hops"))

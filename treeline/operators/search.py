@@ -178,17 +178,17 @@ def bindings(hits: DataFrame, overrides: DataFrame) -> DataFrame:
     return both.select("entity_id", "id", F.coalesce("hits", F.lit(0)).alias("hits"), source.alias("source"))
 
 
-def closure(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def closure(links: DataFrame) -> DataFrame:
     """Connected groups of undirected links (a, b): id, group_id (the least id of the group).
 
     Each round every id takes the least label around it, the label of every id (its root) takes the least label around any of its
     ids, and labels are replaced by their own labels (pointer jumping), so chains shrink in whatever order their ids are.
-    Ends when nothing moves; still moving after ``max_rounds`` is an error.
+    Labels only fall, so it ends: when nothing moves.
     """
     both = links.select(F.col("a").alias("x"), F.col("b").alias("y")).where("x is not null and y is not null and x <> y")
     edges = materialize(both.unionByName(both.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct(), "edges")
     label = materialize(edges.select(F.col("x").alias("id")).distinct().withColumn("g", F.col("id")), "label")
-    for _ in range(max_rounds):
+    while True:
         around = edges.join(label.select(F.col("id").alias("y"), F.col("g").alias("near")), "y").join(label.select(F.col("id").alias("x"), "g"), "x")
         told = around.select(F.explode(F.array_distinct(F.array("x", "g"))).alias("id"), "near").groupBy("id").agg(F.min("near").alias("near"))
         low = label.join(told, "id").select("id", F.least("g", "near").alias("g"), F.col("g").alias("old"))
@@ -200,6 +200,4 @@ def closure(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         label._treeline_path = fresh._treeline_path
         if not moved:
             break
-    else:
-        raise RuntimeError(f"the groups are still moving after {max_rounds} rounds")
     return label.select("id", F.col("g").alias("group_id"))

@@ -157,27 +157,31 @@ def merged_rows(base: DataFrame, ours: DataFrame, theirs: DataFrame, prefer: str
     return joined.where(~gone).select("id", *[value(f).alias(f) for f in MERGED])
 
 
-def chain(links: DataFrame, heads: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """Ancestry of commits: (head, id, distance) for every head, following (id, parent_id); distances double per round."""
+def chain(links: DataFrame, heads: DataFrame) -> DataFrame:
+    """Ancestry of commits: (head, id, distance) for every head, following (id, parent_id); distances double per round.
+
+    A circle of commits is an error."""
+    n = links.count()
     jump = materialize(links.select("id", F.col("parent_id").alias("to")).where("to is not null"), "jump")
     reach = materialize(heads.select(F.col("id").alias("head"), "id", F.lit(0).cast("long").alias("distance")), "reach")
-    for k in range(max_rounds):
+    k = 0
+    while not jump.isEmpty():
+        if 1 << k > n:
+            raise RuntimeError("commits form a circle")
         step = reach.join(jump, "id").select("head", F.col("to").alias("id"), (F.col("distance") + (1 << k)).alias("distance"))
         fresh = materialize(reach.unionByName(step), "reach")
         far = jump.select("id", F.col("to").alias("mid")).join(jump.select(F.col("id").alias("mid"), "to"), "mid").select("id", "to")
         further = materialize(far, "jump")
         release(jump, reach)
-        jump, reach = further, fresh
-        if jump.isEmpty():
-            break
+        jump, reach, k = further, fresh, k + 1
     return reach
 
 
-def reachable(edges: DataFrame, roots: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """Hashes reachable from ``roots`` (hash) over ``edges`` (parent, child): mark phase of the sweep."""
     seen = materialize(roots.select("hash").distinct(), "seen")
     front = seen
-    for _ in range(max_rounds):
+    while True:  # ends: each round finds new hashes or is the last
         found = edges.join(front.select(F.col("hash").alias("parent")), "parent", "left_semi").select(F.col("child").alias("hash")).distinct()
         front = materialize(found.join(seen, "hash", "left_anti"), "front")
         if front.isEmpty():
@@ -196,13 +200,17 @@ def new_objects(have: DataFrame, offered: DataFrame) -> DataFrame:
     return offered.dropDuplicates(["hash"]).join(have.select("hash"), "hash", "left_anti")
 
 
-def materialise_tree(objects: DataFrame, root_hash: str, max_depth: int = 10_000) -> DataFrame:
-    """Snapshot from tree objects (hash, node_id, children array<hash>): node_id, address, depth, sort_order in preorder levels."""
+def materialise_tree(objects: DataFrame, root_hash: str) -> DataFrame:
+    """Snapshot from tree objects (hash, node_id, children array<hash>): node_id, address, depth, sort_order in preorder levels.
+    An object below itself, which no hash of contents can bring about, is an error."""
+    most = objects.count()
     level = objects.where(F.col("hash") == root_hash).select("node_id", "hash", F.lit("1").alias("address"), F.lit(1).alias("depth"), F.lit(1).alias("sort_order"), "children")
     parts = []
-    for _ in range(max_depth):
+    while True:
         level = materialize(level, "tree")
         parts.append(level)
+        if len(parts) > most + 1:
+            raise RuntimeError("the tree has a circle")
         kids = level.select("address", "depth", F.posexplode("children").alias("k", "hash"))
         if kids.isEmpty():
             break
