@@ -243,8 +243,21 @@ def test_closure_of_a_chain_that_advances_one_id_a_round(spark):
     ids = [0, *range(100, 0, -1)]
     links = spark.createDataFrame(list(zip(ids, ids[1:])), "a long, b long")
     assert {r.id: r.group_id for r in closure(links).collect()} == dict.fromkeys(ids, 0)
+
+
+def test_circles_raise_and_depth_is_no_cap(spark):
+    from treeline.operators.orphans import orphan_nodes
+    from treeline.operators.versions import chain, reachable
+
+    long = spark.createDataFrame([(i, i - 1 if i else None) for i in range(150)], "id long, parent_id long")
+    assert chain(long, spark.createDataFrame([(149,)], "id long")).count() == 150
+    ring = spark.createDataFrame([(i, (i + 1) % 5) for i in range(5)], "id long, parent_id long")
     with pytest.raises(RuntimeError):
-        closure(links, max_rounds=2)
+        chain(ring, spark.createDataFrame([(0,)], "id long"))
+    edges = spark.createDataFrame([(str(i), str(i + 1)) for i in range(20)] + [("20", "3")], "parent string, child string")
+    assert reachable(edges, spark.createDataFrame([("0",)], "hash string")).count() == 21
+    hung = orphan_nodes(spark.createDataFrame([(f"n{i:02d}", f"n{i - 1:02d}" if i else "gone") for i in range(14)], "id string, parent_id string"))
+    assert max(r.hops for r in hung.collect()) == 13 and hung.count() == 14
 
 
 def test_synonyms_and_related_ids_over_all_orders(spark):

@@ -106,11 +106,10 @@ def hierarchy(links: DataFrame, with_path: bool = True, hot_rows: int | None = N
     )
     finished, active = [state.where(F.col("ptr").isNull())], state.where(F.col("ptr").isNotNull())
     for hot in hot_rounds:
-        asked = active.select(F.col("ptr").alias("id")).distinct()
         inner = active
         for part in finished:
             inner = inner.unionByName(part)
-        targets = inner.where("size > 1").join(asked, "id", "left_semi").select(
+        targets = inner.where("size > 1").select(  # only internal nodes are pointed at
             F.col("id").alias("ptr"), F.col("ptr").alias("p2"), F.col("root_id").alias("r2"), F.col("lft").alias("l2"),
             F.col("address").alias("a2"), F.col("depth").alias("d2"), F.col("loose").alias("o2"),
             *([F.col("path").alias("h2")] if with_path else []),
