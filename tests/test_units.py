@@ -107,8 +107,11 @@ def test_text_readers():
     assert files.decode("中文".encode("gb18030")) == "中文" and files.decode("é".encode("utf-16")) == "é" and files.decode(b"\xef\xbb\xbfa") == "a"
     assert files.csv_records(b'name,text\n1,"a ""q"", b"\n2,c\n') == [("1-1", "", 'a "q", b'), ("1-2", "", "c")]
     assert files.csv_vectors(b"1,a,x,0.5,2\n2,b,x,no\n") == [[0.5, 2.0], None]
-    lines = '{"message":{"role":"user","content":"hi"}}\nbroken\n{"isMeta":true,"message":{"role":"user","content":"m"}}\n{"message":{"role":"assistant","content":[{"type":"text","text":"yo"},{"type":"tool_use","name":"t","input":{"a":1}}]}}\n{"message":{"role":"user","content":"<sys>"}}'
-    assert files.transcript_records(lines.encode()) == [("1-1", "user", "hi"), ("1-2", "assistant", "yo"), ("1-2-1", "t", '{"a": 1}')]
+    lines = [
+        '{"type":"user","message":{"content":"hi"}}', "broken", '{"type":"user","isMeta":true,"message":{"content":"m"}}', '{"type":"user","message":{"content":"<system-reminder>x"}}', '[1]',
+        '{"type":"assistant","message":{"content":[{"type":"text","text":"yo"},{"type":"tool_use","name":"t","input":{"a":1}}]}}', '{"type":"user","message":{"role":"assistant","content":"<b>kept"}}', '{"message":{"role":"user","content":"no type"}}',
+    ]
+    assert files.transcript_records("\r\n".join(lines).encode()) == [("1-1", "user", "hi"), ("1-2", "assistant", "yo"), ("1-2-1", "t", '{"a": 1}'), ("1-3", "user", "<b>kept")]
     code = "import a\nfrom b import c\nx = 1\nif x:\n    y = 2\nelse:\n    y = 3\nfor i in x:\n    pass\n"
     assert [(a, t) for a, t, _ in files.python_records(code.encode())] == [("1-1", "IMPORT"), ("1-2", "TEXT"), ("1-3", "IF"), ("1-3-1", "TEXT"), ("1-3-2", "ELSE") if False else ("1-4", "ELSE"), ("1-4-1", "TEXT"), ("1-5", "FOREACH"), ("1-5-1", "TEXT")]
     assert files.html_blocks("<h2>T</h2><p>a<br>b</p><script>x</script><table><tr><td>1</td><td>2</td></tr></table>") == [("heading", 2, "T"), ("paragraph", 0, "a b"), ("table", 0, "1 | 2")]

@@ -28,8 +28,9 @@ def content_hash() -> Column:
     return short_hash(F.array(*[F.coalesce(F.col(c), F.lit("")) for c in CONTENT]))
 
 
-def subtree_hashes(nodes: DataFrame) -> DataFrame:
-    """Merkle hashes: id, content_hash, subtree_hash = H([own, children's subtree hashes in order]).
+def subtree_hashes(nodes: DataFrame, with_id: bool = False) -> DataFrame:
+    """Merkle hashes: id, content_hash, subtree_hash = H([own, children's subtree hashes in order]); ``with_id``: of tree objects,
+    H([own, id, children's ...]), so that nodes of equal content do not collapse into one.
 
     Levels are folded from the deepest up; each level is one aggregation by parent. Needs materialised ``depth``.
     """
@@ -43,7 +44,7 @@ def subtree_hashes(nodes: DataFrame) -> DataFrame:
         else:
             kids = below.groupBy(F.col("parent_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("sort_order", "id", "subtree_hash"))).alias("k"))
             done = level.join(kids, "id", "left").withColumn("kids", F.coalesce(F.transform("k", lambda x: x["subtree_hash"]), F.array().cast("array<string>"))).drop("k")
-        hashed = done.withColumn("subtree_hash", short_hash(F.concat(F.array("content_hash"), F.col("kids")))).drop("kids")
+        hashed = done.withColumn("subtree_hash", short_hash(F.concat(F.array("content_hash", "id") if with_id else F.array("content_hash"), F.col("kids")))).drop("kids")
         below = materialize(hashed, "level")
         parts.append(below.select("id", "content_hash", "subtree_hash"))
     if not parts:

@@ -12,14 +12,22 @@ QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None):
-    def add(f):
-        QUERIES[name] = f
-        if sql is not None:
-            ORACLE[name] = sql if sql.lstrip().startswith("WITH") else f"WITH {CORPUS_SQL} {sql}"
-        return f
+def query_into(queries: dict, oracle: dict[str, str]):
+    """Decorator that registers a query and its SQL; SQL that does not begin with WITH continues the corpus tables."""
 
-    return add
+    def query(name: str, sql: str | None = None):
+        def add(f):
+            queries[name] = f
+            if sql is not None:
+                oracle[name] = sql if sql.lstrip().startswith("WITH") else f"WITH {CORPUS_SQL} {sql}"
+            return f
+
+        return add
+
+    return query
+
+
+query = query_into(QUERIES, ORACLE)
 
 
 _M = "(doc_id * 31 + sort_order * 7 + depth)"
@@ -131,7 +139,7 @@ def _won(f: str) -> str:
 
 
 @query("merge3_rows", f"""{_MERGE} SELECT w.id, {', '.join(_won(f) for f in V.MERGED)} FROM w LEFT JOIN base a ON a.id = w.id LEFT JOIN ours b ON b.id = w.id LEFT JOIN theirs c ON c.id = w.id
-WHERE NOT (p = 'deleted' AND conflict_fields = '') AND NOT (starts_with(conflict_fields, '__node__') AND b.id IS NULL)""")  # K13 K19 K20
+WHERE NOT (p = 'deleted' AND conflict_fields = '') AND NOT (starts_with(conflict_fields, '__node__') AND b.id IS NULL)""")  # K13
 def merge3_rows(spark, sf):
     return V.merged_rows(*_sides(spark, sf))
 
@@ -191,7 +199,7 @@ def node_log(spark, sf):
 
 @query("branch_validation", """, o AS (SELECT (doc_id * 1000 + sort_order) * 2 + k AS seq, CASE WHEN sort_order % 6 = 0 THEN id || 'x' ELSE id END AS id, 'text' AS field, CASE WHEN k = 1 THEN text || '1' WHEN sort_order % 4 = 0 THEN 'other' ELSE text END AS old, CASE WHEN k = 0 THEN text || '1' WHEN sort_order % 8 = 0 THEN text ELSE text || '12' END AS new FROM n, (SELECT unnest([0, 1]) AS k) WHERE depth = 2),
 p AS (SELECT id, field, arg_min(old, seq) AS old, arg_max(new, seq) AS new FROM o GROUP BY 1, 2)
-SELECT p.id, field, old, new, CASE WHEN n.id IS NULL THEN 'blocked:node-deleted' WHEN n.text <> old AND n.text <> new THEN 'conflict:content-drift' ELSE 'ok' END AS verdict FROM p LEFT JOIN n ON n.id = p.id""")  # K12 K14
+SELECT p.id, field, old, new, CASE WHEN n.id IS NULL THEN 'blocked:node-deleted' WHEN n.text <> old AND n.text <> new THEN 'conflict:content-drift' ELSE 'ok' END AS verdict FROM p LEFT JOIN n ON n.id = p.id""")  # K12
 def branch_validation(spark, sf):
     n = corpus_nodes(spark, sf)
     o = n.where("depth = 2").withColumn("k", F.explode(F.array(F.lit(0), F.lit(1)))).select(

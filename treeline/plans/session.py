@@ -74,6 +74,16 @@ def materialize(df: DataFrame, tag: str = "t") -> DataFrame:
     return out
 
 
+def exists(df: DataFrame) -> bool:
+    """Whether a materialised table is still there."""
+    spark = df.sparkSession
+    try:
+        where = spark._jvm.org.apache.hadoop.fs.Path(df._treeline_path + "/_SUCCESS")
+        return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+    except Exception:  # its session has ended
+        return False
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         where = spark._jvm.org.apache.hadoop.fs.Path(path)

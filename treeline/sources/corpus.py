@@ -1,12 +1,16 @@
-"""The corpus as tables: documents cut into addressed trees (root, paragraphs, their further lines)."""
+"""The corpus as tables: documents cut into addressed trees (root, paragraphs, their further lines).
+
+The trees are written once per application, as an import does, and read by all queries: columns are pruned and filters pushed
+down to that table, whose rows stand in document order.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeline.functions.columns import WS
-from treeline.plans.session import table
+from treeline.functions.columns import WS, address_key
+from treeline.plans.session import exists, materialize, scratch_dir, table
 
 TRUSTED = "受控"
 
@@ -29,7 +33,19 @@ def corpus_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_STORED: dict[tuple[str, str], DataFrame] = {}
+
+
 def corpus_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``cut_nodes`` as a stored table; written again where it has gone."""
+    key = (scratch_dir(spark), sf_dir)
+    if key not in _STORED or not exists(_STORED[key]):
+        cut = cut_nodes(spark, sf_dir)
+        _STORED[key] = materialize(cut.sortWithinPartitions("doc_id", address_key(F.col("address"))), "nodes")
+    return _STORED[key]
+
+
+def cut_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tree of every document: doc_id, id, parent_id, sort_order, address, depth, node_type, text, node_title, node_note,
     trust_level, updated_at. Paragraphs are children of the root; a paragraph's text is its first line, its further
     lines are its children."""

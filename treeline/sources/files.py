@@ -222,27 +222,48 @@ def epub_records(raw: bytes) -> list[Record]:
     return _by_heading(blocks)
 
 
+#: Beginnings of user lines that a program wrote.
+SYNTHETIC = (
+    "<command-name", "<command-message", "<command-args", "<local-command-stdout", "<local-command-stderr", "<local-command-caveat",
+    "<system-reminder", "<task-notification", "<user-memory-input",
+)
+
+
+def _said(content: object) -> tuple[str, list[dict]]:
+    """Text and tool uses of a message's content (a string or a list of blocks)."""
+    if isinstance(content, str):
+        return content.strip(), []
+    blocks = [b for b in content if isinstance(b, dict)] if isinstance(content, list) else []
+    text = "\n".join(b["text"] for b in blocks if b.get("type") == "text" and isinstance(b.get("text"), str))
+    return text.strip(), [b for b in blocks if b.get("type") == "tool_use"]
+
+
 def transcript_records(raw: bytes) -> list[Record]:
-    """Turns of a JSON-lines transcript: (role, text); broken lines, synthetic user lines and empty turns are dropped; tool uses are
-    children of their turn."""
+    """Turns of a JSON-lines transcript: (role, text), the role being the line's type; broken lines, user lines a program wrote
+    and empty turns are dropped; tool uses are children of their turn."""
     out: list[Record] = []
-    for line in decode(raw).splitlines():
+    turn = 0
+    for line in decode(raw).split("\n"):
         try:
             e = json.loads(line)
         except ValueError:
             continue
-        m = e.get("message") if isinstance(e, dict) else None
-        if not isinstance(m, dict) or e.get("isMeta") or m.get("role") not in ("user", "assistant"):
+        role = e.get("type") if isinstance(e, dict) else None
+        if role not in ("user", "assistant"):
             continue
-        parts = m.get("content")
-        parts = [{"type": "text", "text": parts}] if isinstance(parts, str) else parts if isinstance(parts, list) else []
-        text = "\n".join(p.get("text", "") for p in parts if isinstance(p, dict) and p.get("type") == "text").strip()
-        tools = [p for p in parts if isinstance(p, dict) and p.get("type") == "tool_use"]
-        if not text and not tools or (m["role"] == "user" and text.startswith("<")):
+        message = e.get("message")
+        content = message.get("content") if isinstance(message, dict) else None
+        text, tools = _said(content)
+        if role == "user":
+            written = any(e.get(k) is True for k in ("isMeta", "isCompactSummary", "isVisibleInTranscriptOnly"))
+            if not text or written or text.startswith(SYNTHETIC):
+                continue
+            tools = []
+        elif not isinstance(content, list) or not (text or tools):
             continue
-        turn = 1 + sum(a.count("-") == 1 for a, _, _ in out)
-        out.append((f"1-{turn}", m["role"], text))
-        out += [(f"1-{turn}-{k}", p.get("name", "tool"), json.dumps(p.get("input"), ensure_ascii=False)) for k, p in enumerate(tools, 1)]
+        turn += 1
+        out.append((f"1-{turn}", role, text))
+        out += [(f"1-{turn}-{k}", p.get("name") or "tool", json.dumps(p.get("input") or {}, ensure_ascii=False)) for k, p in enumerate(tools, 1)]
     return out
 
 
