@@ -136,6 +136,11 @@ def test_pdf_pages(spark):
     df = spark.createDataFrame(rows, "path string, page int, page_width double, x double, y0 double, x1 double, y1 double, text string, bold boolean")
     table = pdf.lines(df)
     assert [(r.line_no, r.level) for r in pdf.headings(table).collect()] == [(1, 1)]
+    body = [("f", 1, 600.0, 50.0, y, 250.0, y + 10, t, False) for y, t in ((40.0, "one"), (52.0, "two"), (120.0, "three"), (140.0, "12"))] + [("f", 1, 600.0, 50.0, 0.0, 250.0, 16.0, "Top", False), ("f", 2, 600.0, 50.0, 0.0, 250.0, 10.0, "four", False)]
+    small = pdf.lines(spark.createDataFrame(body, df.schema))
+    blocks = pdf.paragraphs(small, pdf.headings(small)).orderBy("block_no").collect()
+    assert [(r.type, r.level, r.text) for r in blocks] == [("heading", 1, "Top"), ("paragraph", 0, "one\ntwo"), ("paragraph", 0, "three"), ("paragraph", 0, "four")]
+    assert pdf.paragraphs(small.limit(0), pdf.headings(small.limit(0))).count() == 0 and pdf.page_lines([], 600) == []
     assert pdf.unbroken("中\n文\nand\nso.") == "中文 and so." and pdf.image_only("few", 3)
     assert pdf.outline_positions("x\nA  B\n", [("A B", 0), ("x", 0)]) == [("A B", 2, 6), ("x", 0, 1)]
 

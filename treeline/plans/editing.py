@@ -8,7 +8,7 @@ from treeline.functions.columns import WS
 from treeline.functions.embed import HashingEmbedder, embedded
 from treeline.functions.textdiff import diff_rows
 from treeline.operators import documents as D
-from treeline.plans.session import table
+from treeline.plans.session import materialize, table
 from treeline.sources import pdf
 from treeline.sources.corpus import CORPUS_SQL, corpus_docs, corpus_nodes, filled
 
@@ -132,12 +132,23 @@ def embedded_texts(spark, sf):
     return embedded(corpus_nodes(spark, sf).where(filled(F.col("text"))).select("id", put.alias("input")), "id", "input", HashingEmbedder(32))
 
 
-@query("pdf_lines")  # A10
-def pdf_lines(spark, sf):
+def _items(spark, sf):
+    """Words of every document with a path as a text layer: ten a line, twenty lines a page, first lines larger."""
     words = corpus_docs(spark, sf).where("path is not null").select("path", F.posexplode(F.split("source_text", r"\s+")).alias("k", "text"))
     row, col = F.floor(F.col("k") / 10), F.col("k") % 10
-    items = words.where("text <> ''").select(
+    size = F.when((row % 20 == 0), 14.0).otherwise(10.0)
+    return words.where("text <> ''").select(
         "path", (row / 20).cast("int").alias("page"), F.lit(600.0).alias("page_width"), (col * 60.0).alias("x"), (col * 60.0 + 50).alias("x1"),
-        ((row % 20) * 20.0).alias("y0"), ((row % 20) * 20.0 + 10).alias("y1"), "text", F.lit(False).alias("bold"),
+        ((row % 20) * 20.0).alias("y0"), ((row % 20) * 20.0 + size).alias("y1"), "text", F.lit(False).alias("bold"),
     )
-    return pdf.lines(items)
+
+
+@query("pdf_lines")  # A10 A10a A10b A10c
+def pdf_lines(spark, sf):
+    return pdf.lines(_items(spark, sf))
+
+
+@query("pdf_blocks")  # A10d A10g A10h
+def pdf_blocks(spark, sf):
+    table = materialize(pdf.lines(_items(spark, sf)), "lines")
+    return pdf.paragraphs(table, pdf.headings(table))

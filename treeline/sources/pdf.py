@@ -1,78 +1,106 @@
 """Text layers of PDF pages: positioned items to lines, reading order, paragraphs and inferred headings.
 
 Input rows are items (path, page, page_width, x, y0, x1, y1, text, bold). A page is the unit of work and small by nature; pages are
-spread over the workers. What spans pages (body size, heading levels, margins) is aggregated by Spark.
+spread over the workers, where bands of items become lines. What spans pages (body size, heading levels, margins, paragraphs) is
+left to Spark as aggregates and windows.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-CJK = re.compile("[ᄀ-ᇿ぀-ヿ㐀-䶿一-鿿가-힯豈-﫿]")
-_NO_SPACE_BEFORE = set("，。？！；：、）】》」』,.!?;:%)")
+from pyspark.sql.window import Window
+
+#: The layout rules. Heights are of the line, widths shares of the page's.
+SHIFT, LEAST_SHIFT = 0.55, 2.0  # centres of one line differ by at most this share of its height, or this
+WORD_GAP = 0.18  # a wider gap between items is a space
+WIDE, WIDE_FROM, WIDE_TO = 0.58, 0.38, 0.62  # a full-width line is wider, or starts before and ends behind
+COLUMN_SLACK = 0.12  # a column may pass the middle by this share of the half page
+LEAST_LINES, LEAST_SIDE = 12, 4  # two columns need so many lines, and so many on each side
+PARAGRAPH_GAP, LEAST_HEIGHT = 2.3, 8.0  # a wider step between lines, in heights of at least that, is a blank line
+TITLE_NEAR, TITLE_FAR = 8_000, 12_000  # characters behind the page's start in which a title is searched, also by its letters
+MOST_TITLE = 80
+NO_SPACE_BEFORE = set("，。？！；：、）】》」』,.!?;:%)")
+CJK = re.compile("[ᄀ-ᇿ぀-ヿ㐀-䶿一-鿿가-힯豈-﫿]")
+PAGE_NUMBER = r"^[\-–— ]*[0-9ivxlc]{1,5}[\-–— ]*$"
 _LINE = "path string, page int, line_no int, x0 double, y0 double, x1 double, y1 double, height double, bold boolean, column_break boolean, text string"
 
 
-def _joined(items: list[dict]) -> str:
-    text, last = "", None
-    for it in sorted(items, key=lambda i: i["x"]):
-        if last is not None:
-            wide = it["x"] - last["x1"] > max(1.0, (last["y1"] - last["y0"]) * 0.18)
-            if wide and not (CJK.match(text[-1:]) and CJK.match(it["text"])) and it["text"][:1] not in _NO_SPACE_BEFORE:
-                text += " "
-        text, last = text + it["text"], it
-    return text
+@dataclass
+class _Band:
+    """Items of one line and the box around them."""
+
+    items: list[dict] = field(default_factory=list)
+    box: np.ndarray = field(default_factory=lambda: np.array([np.inf, np.inf, -np.inf, -np.inf]))  # x0, y0, x1, y1
+    height: float = 0.0
+
+    def holds(self, it: dict, middle: float) -> bool:
+        """Whether an item stands at this height and not in another column."""
+        x0, y0, x1, y1 = self.box
+        tall = max(self.height, it["y1"] - it["y0"])
+        level = abs((it["y0"] + it["y1"]) - (y0 + y1)) / 2 <= max(LEAST_SHIFT, SHIFT * tall)
+        across = middle > 0 and ((x0 + x1) / 2 - middle) * ((it["x"] + it["x1"]) / 2 - middle) < 0
+        gap = max(x0, it["x"]) - min(x1, it["x1"])
+        return bool(level and not (across and gap > max(tall, 1.0)))
+
+    def add(self, it: dict) -> None:
+        self.items.append(it)
+        low, high = np.minimum(self.box[:2], (it["x"], it["y0"])), np.maximum(self.box[2:], (it["x1"], it["y1"]))
+        self.box, self.height = np.concatenate([low, high]), max(self.height, it["y1"] - it["y0"])
+
+    def text(self) -> str:
+        """Items from left to right, with a space where a gap is wide and both scripts use spaces."""
+        row = sorted(self.items, key=lambda i: i["x"])
+        parts = [row[0]["text"]]
+        for a, b in zip(row, row[1:]):
+            spaced = b["x"] - a["x1"] > max(1.0, WORD_GAP * (a["y1"] - a["y0"])) and b["text"][:1] not in NO_SPACE_BEFORE
+            both_cjk = CJK.match(a["text"][-1:]) and CJK.match(b["text"])
+            parts.append(" " * bool(spaced and not both_cjk) + b["text"])
+        return "".join(parts)
+
+    def line(self) -> dict:
+        sizes = np.array([len(i["text"]) for i in self.items])
+        heavy = sizes[[bool(i.get("bold")) for i in self.items]].sum()
+        x0, y0, x1, y1 = map(float, self.box)
+        return {"x0": x0, "y0": y0, "x1": x1, "y1": y1, "height": float(self.height), "bold": bool(heavy >= 0.6 * sizes.sum()), "column_break": False, "text": self.text()}
+
+
+def zones(box: np.ndarray, width: float) -> np.ndarray:
+    """Reading zone of each line (rows x0, y0, x1): 0 above the columns, 1 left, 2 right, 3 full-width between, 4 below; all 0 on a
+    page of one column."""
+    x0, y0, x1 = box.T
+    middle = width / 2
+    full = (x1 - x0 > WIDE * width) | ((x0 < WIDE_FROM * width) & (x1 > WIDE_TO * width))
+    n_left, n_right = (x1 < middle * (1 + COLUMN_SLACK)).sum(), (x0 > middle * (1 - COLUMN_SLACK)).sum()
+    if len(box) < LEAST_LINES or min(n_left, n_right) < LEAST_SIDE or n_left + n_right <= 2 * full.sum() or full.all():
+        return np.zeros(len(box), int)
+    inside = y0[~full]
+    return np.select([full & (y0 < inside.min()), full & (y0 > inside.max()), full, (x0 + x1) / 2 < middle], [0, 4, 3, 1], 2)
 
 
 def page_lines(items: list[dict], width: float) -> list[dict]:
-    """Lines of one page in reading order. Items share a line when their centres are near and no column gap is between;
-    on pages of two columns the left one comes before the right one, full-width lines above and below them."""
-    groups: list[list[dict]] = []
-    box: dict = {}
+    """Lines of one page in reading order."""
+    bands: list[_Band] = []
     for it in sorted((i for i in items if i["text"]), key=lambda i: (i["y0"], i["x"])):
-        h, c = it["y1"] - it["y0"], (it["y0"] + it["y1"]) / 2
-        if groups:
-            gap = max(box["x0"], it["x"]) - min(box["x1"], it["x1"])
-            sides = (box["x0"] + box["x1"]) / 2 - width / 2, (it["x"] + it["x1"]) / 2 - width / 2
-            apart = width > 0 and gap > max(box["h"], h, 1.0) and sides[0] * sides[1] < 0
-            if abs(c - (box["y0"] + box["y1"]) / 2) <= max(2.0, max(box["h"], h) * 0.55) and not apart:
-                groups[-1].append(it)
-                box = {"x0": min(box["x0"], it["x"]), "x1": max(box["x1"], it["x1"]), "y0": min(box["y0"], it["y0"]), "y1": max(box["y1"], it["y1"]), "h": max(box["h"], h)}
-                continue
-        groups.append([it])
-        box = {"x0": it["x"], "x1": it["x1"], "y0": it["y0"], "y1": it["y1"], "h": h}
-    lines = [
-        {
-            "x0": min(i["x"] for i in g), "x1": max(i["x1"] for i in g), "y0": min(i["y0"] for i in g), "y1": max(i["y1"] for i in g),
-            "height": max(i["y1"] - i["y0"] for i in g), "bold": sum(len(i["text"]) * bool(i.get("bold")) for i in g) >= 0.6 * sum(len(i["text"]) for i in g),
-            "column_break": False, "text": _joined(g),
-        }
-        for g in groups
-    ]
-    lines.sort(key=lambda ln: (ln["y0"], ln["x0"]))
-    full = [ln["x1"] - ln["x0"] > width * 0.58 or (ln["x0"] < width * 0.38 and ln["x1"] > width * 0.62) for ln in lines]
-    left = sum(ln["x1"] < width / 2 * 1.12 for ln in lines)
-    right = sum(ln["x0"] > width / 2 * 0.88 for ln in lines)
-    columns = [ln for ln, f in zip(lines, full) if not f]
-    if len(lines) < 12 or left < 4 or right < 4 or left + right <= 2 * sum(full) or not columns:
+        if not bands or not bands[-1].holds(it, width / 2):
+            bands.append(_Band())
+        bands[-1].add(it)
+    lines = [b.line() for b in bands]
+    if not lines:
         return lines
-    top, bottom = min(ln["y0"] for ln in columns), max(ln["y0"] for ln in columns)
-
-    def rank(ln: dict, is_full: bool) -> int:
-        if is_full:
-            return 0 if ln["y0"] < top else 4 if ln["y0"] > bottom else 3
-        return 1 if (ln["x0"] + ln["x1"]) / 2 < width / 2 else 2
-
-    ranked = sorted(zip((rank(ln, f) for ln, f in zip(lines, full)), range(len(lines))))
-    out = [lines[i] for _, i in ranked]
-    first_right = next((i for i, (r, _) in enumerate(ranked) if r == 2), None)
-    if first_right is not None:
-        out[first_right]["column_break"] = True
+    box = np.array([[ln["x0"], ln["y0"], ln["x1"]] for ln in lines])
+    zone = zones(box, width)
+    order = np.lexsort((box[:, 0], box[:, 1], zone))
+    out = [lines[i] for i in order]
+    right = np.flatnonzero(zone[order] == 2)
+    if len(right):
+        out[right[0]]["column_break"] = True
     return out
 
 
@@ -94,7 +122,7 @@ def headings(table: DataFrame) -> DataFrame:
     """Inferred headings (path, page, line_no, level): lines larger than the body size (the size of most characters), ranked by
     size; else bold, at the left margin, and short. Page numbers and lines over 80 characters are none."""
     text = F.trim("text")
-    fit = table.where((F.length(text) > 0) & (F.length(text) <= 80) & ~text.rlike(r"^[\-–— ]*[0-9ivxlc]{1,5}[\-–— ]*$")).withColumn("size", F.round("height").cast("int"))
+    fit = table.where((F.length(text) > 0) & (F.length(text) <= MOST_TITLE) & ~text.rlike(PAGE_NUMBER)).withColumn("size", F.round("height").cast("int"))
     weight = fit.groupBy("path", "size").agg(F.sum(F.length("text")).alias("w"))
     body = weight.groupBy("path").agg(F.max_by("size", F.struct("w", -F.col("size"))).alias("body"))
     margin = fit.groupBy("path", F.round("x0").alias("left")).agg(F.count(F.lit(1)).alias("n")).groupBy("path").agg(F.max_by("left", F.struct("n", -F.col("left"))).alias("left"))
@@ -107,13 +135,30 @@ def headings(table: DataFrame) -> DataFrame:
     return joined.select("path", "page", "line_no", F.coalesce(by_size, by_weight).cast("int").alias("level")).where("level is not null")
 
 
-def separator(previous: dict | None, line: dict) -> str:
-    """Between two lines: nothing at the start, a blank line at column breaks and wide gaps, else a line break."""
-    if previous is None:
-        return ""
-    if line["column_break"] or max(0.0, line["y0"] - previous["y0"]) > max(previous["height"], line["height"], 8.0) * 2.3:
-        return "\n\n"
-    return "\n"
+def breaks_before() -> Column:
+    """Whether a blank line stands before a line of its page: at column breaks and wide steps downwards."""
+    along = Window.partitionBy("path", "page").orderBy("line_no")
+    step = F.col("y0") - F.lag("y0").over(along)
+    tall = F.greatest("height", F.lag("height").over(along), F.lit(LEAST_HEIGHT))
+    return F.coalesce(F.col("column_break") | (step > tall * PARAGRAPH_GAP), F.lit(True))
+
+
+def paragraphs(table: DataFrame, found: DataFrame) -> DataFrame:
+    """Blocks of a text layer: path, block_no, type ('heading' or 'paragraph'), level (0 for paragraphs), text.
+
+    ``table`` holds the lines, ``found`` the headings among them (path, page, line_no, level). A paragraph is a run of lines between
+    headings without a blank line inside, across pages only where the page begins without one; page numbers are left out.
+    """
+    known = table.join(found, ["path", "page", "line_no"], "left").withColumn("blank", breaks_before())
+    text = F.trim("text")
+    kept = known.where(F.col("level").isNotNull() | ~text.rlike(PAGE_NUMBER)).where(text != "")
+    along = Window.partitionBy("path").orderBy("page", "line_no")
+    fresh = F.col("level").isNotNull() | F.lag("level").over(along).isNotNull() | F.col("blank") | F.lag("text").over(along).isNull()
+    block = F.sum(fresh.cast("int")).over(along.rowsBetween(Window.unboundedPreceding, 0))
+    lines_of = F.transform(F.array_sort(F.collect_list(F.struct("page", "line_no", text.alias("t")))), lambda x: x["t"])
+    return kept.withColumn("block_no", block).groupBy("path", "block_no").agg(
+        F.when(F.max("level").isNotNull(), "heading").otherwise("paragraph").alias("type"), F.coalesce(F.max("level"), F.lit(0)).alias("level"), F.array_join(lines_of, "\n").alias("text")
+    )
 
 
 def unbroken(text: str) -> str:
@@ -138,22 +183,17 @@ def image_only(text: str, pages: int) -> bool:
     return sum(c.isalnum() for c in text) < max(40, 8 * max(1, pages))
 
 
-def outline_positions(text: str, titles: list[tuple[str, int]], near: int = 8_000) -> list[tuple[str, int, int]]:
-    """(title, start, end) of outline entries (title, page start) in the text: near the page's start, else anywhere, else as a line
-    equal without white space."""
-    squeeze = lambda s: re.sub(r"\s+", "", s)
-    out = []
-    for title, at in titles:
-        k = text.find(title, at, at + near)
-        k = text.find(title) if k < 0 else k
-        if k >= 0:
-            out.append((title, k, k + len(title)))
-            continue
-        pos = at
-        for line in text[at : at + 12_000].split("\n"):
-            if line.strip() and squeeze(line) == squeeze(title):
-                out.append((title, pos, pos + len(line)))
-                break
-            pos += len(line) + 1
-    return out
+def outline_positions(text: str, titles: list[tuple[str, int]]) -> list[tuple[str, int, int]]:
+    """(title, start, end) of outline entries (title, page start) in the text: near the page's start, else anywhere, else a line
+    behind the page's start that has the title's letters with other white space. Entries that are nowhere are left out."""
+
+    def spans(title: str, at: int) -> Iterator[tuple[int, int]]:
+        for low, high in ((at, at + TITLE_NEAR), (0, len(text))):
+            if title and (k := text.find(title, low, high)) >= 0:
+                yield k, k + len(title)
+        letters = r"[^\S\n]*".join(map(re.escape, "".join(title.split())))
+        if letters and (m := re.compile(rf"^[^\S\n]*{letters}[^\S\n]*$", re.M).search(text, at, at + TITLE_FAR)):
+            yield m.span()
 
+    hits = ((title, next(spans(title, at), None)) for title, at in titles)
+    return [(title, *hit) for title, hit in hits if hit]
