@@ -84,10 +84,53 @@ def html_records(spark, sf):
     return files.parse_files(made)
 
 
-@query("file_records")  # A4 A5 A12 A15 A18 A25
+_PARAS = """, f AS (SELECT doc_id, p, i FROM (SELECT doc_id, unnest(list_transform(ps, lambda x: trim(regexp_replace(regexp_replace(x, '[\\x{0}-\\x{8}\\x{E}-\\x{1F}]', '', 'g'), '[\\t-\\r \\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+', ' ', 'g')))) AS p, unnest(generate_series(1, len(ps))) AS i FROM ps)),
+g AS (SELECT doc_id, p, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM f WHERE p <> '')"""
+
+
+def _paragraphs(docs):
+    """Paragraphs of every document with white space run together."""
+    flat = F.transform(F.split("source_text", "\n\n"), lambda p: F.trim(F.regexp_replace(F.regexp_replace(p, r"[\x00-\x08\x0E-\x1F]", ""), r"[\t-\r \x85\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]+", " ")))
+    return docs.select("doc_id", F.filter(flat, lambda p: p != "").alias("texts"))
+
+
+@query("office_records", f"""{_PARAS}, k AS (SELECT unnest(['docx', 'epub', 'xlsx', 'jsonl', 'csv']) AS kind)
+SELECT doc_id || '.' || kind AS path, count(*) AS n, string_agg(p, '|' ORDER BY g.k) AS texts FROM g, k GROUP BY 1""")  # A11 A12 A15 A16 A18 A25
+def office_records(spark, sf):
+    """Every document's paragraphs written as DOCX, EPUB, XLSX, JSON lines and CSV, and read again: heading records left out."""
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    from treeline.sources import office
+
+    def written(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for doc, texts in zip(pdf["doc_id"], pdf["texts"]):
+                own = [(f"{doc}.{kind}", write("Title", list(texts))) for kind, write in office.WRITERS.items()]
+                yield pd.DataFrame(own, columns=["path", "content"])
+
+    made = _paragraphs(corpus_docs(spark, sf)).where(F.size("texts") > 0).mapInPandas(written, "path string, content binary")
+    read = files.parse_files(made).where("text <> ''")
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("record_no", "text"))), lambda x: x["text"])
+    return read.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.array_join(lines, "|").alias("texts"))
+
+
+@query("python_records", """WITH p AS (SELECT p_partkey, p_size % 4 AS k FROM part) SELECT p_partkey || '.py' AS path, CAST(3 + greatest(k, 1) AS bigint) AS n, 'IMPORT,IF,' || repeat('TEXT,', greatest(k, 1)) || 'TEXT' AS kinds FROM p""")  # A17 A18
+def python_records(spark, sf):
+    """Small programs made from the parts: two imports, a condition with a growing body, a last statement."""
+    body = F.array_join(F.transform(F.sequence(F.lit(0), F.col("p_size") % 4), lambda i: F.concat(F.lit("    x = "), i.cast("string"))), "\n")
+    inner = F.when(F.col("p_size") % 4 > 0, F.concat(F.lit("\nif a:\n"), F.regexp_replace(body, r"\n?    x = 0\n?", "")))
+    text = F.concat(F.lit("import a\nfrom b import c"), F.coalesce(inner, F.lit("\nif a: pass")), F.lit("\ny = 1\n"))
+    made = table(spark, sf, "part").select(F.concat(F.col("p_partkey").cast("string"), F.lit(".py")).alias("path"), text.cast("binary").alias("content"))
+    return files.parse_files(made).groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("record_no", "title"))), lambda x: x["title"]), ",").alias("kinds"))
+
+
+@query("file_records")  # A4 A5 A18
 def file_records(spark, sf):
-    made = corpus_docs(spark, sf).where("path is not null").select("path", F.col("source_text").cast("binary").alias("content"))
-    return files.parse_files(made)
+    """Texts and Markdown files as they are; chats, which are no JSON lines, are read as text. Documents without a path get one."""
+    path = F.regexp_replace(F.coalesce("path", F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))), r"\.(jsonl|json)$", ".txt")
+    return files.parse_files(corpus_docs(spark, sf).select(path.alias("path"), F.col("source_text").cast("binary").alias("content")))
 
 
 @query("folder_tree", """, fp AS (SELECT string_split(path, '/') AS p FROM dc WHERE path IS NOT NULL AND NOT list_bool_or(list_transform(string_split(path, '/'), lambda x: starts_with(x, '.')))), fu AS (SELECT p, unnest(generate_series(1, len(p) - 1)) AS k FROM fp)
@@ -105,26 +148,11 @@ def export_import(spark, sf):
     return back["nodes"].join(lost, "id", "left_anti").select("id", "address", "text")
 
 
-@query("long_nodes_for_vectors", ", c AS (SELECT id, concat_ws(chr(10), nullif(node_title, ''), text, node_note) AS input FROM n WHERE length(regexp_replace(text, '[\\t-\\r ]', '', 'g')) > 0) SELECT id, input FROM c WHERE length(input) <= 2000")  # I12 H30 P6
-def long_nodes_for_vectors(spark, sf):
+@query("vector_inputs", ", c AS (SELECT id, concat_ws(chr(10), nullif(node_title, ''), text, node_note) AS input FROM n WHERE length(regexp_replace(text, '[\\t-\\r ]', '', 'g')) > 0) SELECT id, input FROM c")  # I12 P6
+def vector_inputs(spark, sf):
     n = corpus_nodes(spark, sf).where(F.length(F.regexp_replace("text", r"\s", "")) > 0)
     put = F.concat_ws("\n", F.when(F.col("node_title") != "", F.col("node_title")), "text", "node_note")
-    return n.select("id", put.alias("input")).where(F.length("input") <= 2000)
-
-
-@query("stream_isomorphism", ", a AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY list_transform(string_split(address, '-'), lambda x: CAST(x AS int))) AS place, text FROM n) SELECT doc_id, count(*) AS n, CAST(0 AS bigint) AS differing FROM a GROUP BY 1")  # P8
-def stream_isomorphism(spark, sf):
-    from pyspark.sql.window import Window
-
-    from treeline.functions.columns import address_array
-
-    n = corpus_nodes(spark, sf)
-    w = Window.partitionBy("doc_id").orderBy(address_array(F.col("address")))
-    direct = n.select("doc_id", F.row_number().over(w).alias("place"), "text")
-    streamed = materialize(n.select("doc_id", "address", "text"), "streamed")  # written and read again, as a stream would
-    again = streamed.select("doc_id", F.row_number().over(w).alias("place"), F.col("text").alias("t2"))
-    both = direct.join(again, ["doc_id", "place"], "full")
-    return both.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum((~F.col("text").eqNullSafe(F.col("t2"))).cast("int")).alias("differing"))
+    return n.select("id", put.alias("input"))
 
 
 @query("char_counts", "SELECT id, length(text) AS chars, " + "coalesce(length(regexp_replace(text, '[\\t-\\r \\x{00A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{FEFF}]', '', 'g')), 0) AS body_chars FROM n")  # H4 N

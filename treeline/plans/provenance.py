@@ -215,12 +215,15 @@ def prune_dead_refs(spark, sf):
     return no_node.unionByName(no_axiom).distinct()
 
 
-@query("orphan_documents", """WITH k AS (SELECT id FROM docs WHERE id IS NOT NULL) SELECT DISTINCT doc_id FROM source_spans WHERE doc_id IS NOT NULL AND doc_id NOT IN (SELECT id FROM k) """)  # P2 M14 P5
+@query("orphan_documents", """WITH k AS (SELECT id FROM docs WHERE id IS NOT NULL), s AS (SELECT doc_id FROM source_spans UNION SELECT doc_id || '-gone' FROM source_spans WHERE sentence_index % 40 = 0) SELECT DISTINCT doc_id FROM s WHERE doc_id IS NOT NULL AND doc_id NOT IN (SELECT id FROM k)""")  # P2 M14 P5
 def orphan_documents(spark, sf):
+    """Spans of documents that are gone are planted: every fortieth sentence once more under a document that never was."""
     docs = table(spark, sf, "docs").select(F.col("id").alias("doc_id")).distinct()
     if docs.isEmpty():
         raise RuntimeError("no documents known: nothing is called an orphan")
-    return table(spark, sf, "source_spans").where("doc_id is not null").select("doc_id").distinct().join(docs, "doc_id", "left_anti")
+    spans = table(spark, sf, "source_spans")
+    planted = spans.where("sentence_index % 40 = 0").select(F.concat("doc_id", F.lit("-gone")).alias("doc_id"))
+    return spans.select("doc_id").unionByName(planted).where("doc_id is not null").distinct().join(docs, "doc_id", "left_anti")
 
 
 @query("branch_undo", """, e AS (SELECT doc_id, doc_id * 100000 + sort_order * 10 AS seq FROM n WHERE depth = 2 AND sort_order % 4 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY seq DESC) AS back FROM e)
