@@ -130,19 +130,27 @@ def fold(nodes: DataFrame, ops: DataFrame) -> DataFrame:
     rows = nodes.select(*[c for c in names])
 
     def run(base: pd.DataFrame, log: pd.DataFrame) -> pd.DataFrame:
-        doc = (base if len(base) else log)["doc_id"].iat[0]
-        clean = base.drop(columns="doc_id").astype(object).where(base.drop(columns="doc_id").notna(), None)
-        tree = Tree(clean.to_dict("records"))
-        for r in log.sort_values("seq").itertuples(index=False):
-            try:
-                entry = json.loads(r.entry)
-            except (TypeError, ValueError):
-                continue
-            if isinstance(entry, dict):
-                tree.apply(r.kind, entry)
-        return pd.DataFrame([{"doc_id": doc, **r} for r in tree.rows()], columns=names)
-
-    folded = rows.join(touched, "doc_id", "left_semi").groupBy("doc_id").cogroup(active.groupBy("doc_id")).applyInPandas(run, schema)
+        rows_of: dict = {}
+        for row in base.drop(columns="_bucket").astype(object).where(base.drop(columns="_bucket").notna(), None).to_dict("records"):
+            rows_of.setdefault(row.pop("doc_id"), []).append(row)
+        out: list[dict] = []
+        for doc, own in log.sort_values("seq").groupby("doc_id", sort=False):
+            tree = Tree(rows_of.get(doc, []))
+            for kind_, text in zip(own["kind"], own["entry"]):
+                try:
+                    entry = json.loads(text)
+                except (TypeError, ValueError):
+                    continue
+                if isinstance(entry, dict):
+                    tree.apply(kind_, entry)
+            out += [{"doc_id": doc, **r} for r in tree.rows()]
+        return pd.DataFrame(out, columns=names)
+
+    # a document is folded whole; a group holds a bucket of documents, a fraction of a shuffle partition
+    buckets = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 8
+    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).alias("_bucket")
+    asked = rows.join(touched, "doc_id", "left_semi").select("*", bucket).groupBy("_bucket")
+    folded = asked.cogroup(active.select("*", bucket).groupBy("_bucket")).applyInPandas(run, schema)
     return rows.join(touched, "doc_id", "left_anti").unionByName(folded)
 
 

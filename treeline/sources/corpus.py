@@ -42,7 +42,10 @@ def corpus_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     if key not in _STORED or not exists(_STORED[key]):
         cut = cut_nodes(spark, sf_dir)
         _STORED[key] = materialize(cut.sortWithinPartitions("doc_id", address_key(F.col("address"))), "nodes")
-    return _STORED[key]
+    stored = _STORED[key]
+    fresh = spark.read.schema(stored.schema).parquet(stored._treeline_path)  # every call has its own columns, for self-joins
+    fresh._treeline_path = stored._treeline_path
+    return fresh
 
 
 def cut_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
