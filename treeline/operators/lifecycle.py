@@ -10,11 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from treeline.operators import versions as V
+from treeline.operators.source import next_of
 from treeline.operators.tree import ancestor_addresses, child_counts
 from treeline.plans.session import materialize
 
-BUCKET = 256
-
 
 def resolve_addresses(nodes: DataFrame, asked: DataFrame) -> DataFrame:
     """Nodes of the asked (doc_id, address): doc_id, address, id, child_count; addresses that are none or lead nowhere have no row.
@@ -164,17 +163,9 @@ def node_anchors(nodes: DataFrame, spans: DataFrame) -> DataFrame:
     ``source_position`` (sentence_index, then id); else the first span below it; else 0 ('none')."""
     own = spans.where("node_id is not null").groupBy("doc_id", F.col("node_id").alias("id")).agg(F.min("start_offset").alias("own"))
     at = nodes.select("doc_id", "id", "address", F.floor("source_position").cast("long").alias("want")).join(own, ["doc_id", "id"], "left")
-    # nearest sentence: within the same run of BUCKET sentence numbers by an equi-join, else the first of the next run that has any
-    run = F.floor(F.col("k") / F.lit(BUCKET))
-    ask = at.where("own is null and want is not null").select("doc_id", "id", F.col("want").alias("k")).withColumn("run", run)
-    give = spans.where("sentence_index is not null and start_offset is not null").groupBy("doc_id", F.col("sentence_index").cast("long").alias("k")).agg(F.min_by("start_offset", "span_id").alias("start"))
-    give = give.withColumn("run", run)
-    same = ask.join(give.withColumnRenamed("k", "g"), ["doc_id", "run"]).where("g >= k").groupBy("doc_id", "id").agg(F.min_by("start", "g").alias("same"))
-    firsts = give.groupBy("doc_id", "run").agg(F.min_by("start", "k").alias("start"))
-    runs = ask.select("doc_id", "run").unionByName(give.select("doc_id", "run")).distinct().join(firsts, ["doc_id", "run"], "left")
-    behind = Window.partitionBy("doc_id").orderBy("run").rowsBetween(1, Window.unboundedFollowing)
-    later = runs.select("doc_id", "run", F.first("start", ignorenulls=True).over(behind).alias("later"))
-    near = ask.join(same, ["doc_id", "id"], "left").join(later, ["doc_id", "run"], "left").select("doc_id", "id", F.coalesce("same", "later").alias("near"))
+    ask = at.where("own is null and want is not null").select("doc_id", "id", F.col("want").alias("at"))
+    give = spans.where("sentence_index is not null and start_offset is not null").groupBy("doc_id", F.col("sentence_index").cast("long").alias("at")).agg(F.min_by("start_offset", "span_id").alias("value"))
+    near = ask.join(next_of(ask.select("doc_id", "at").distinct(), give), ["doc_id", "at"]).select("doc_id", "id", F.col("value").alias("near"))
     up = at.where("own is not null").select("doc_id", "own", F.explode(ancestor_addresses(F.col("address"))).alias("address"))
     below = up.groupBy("doc_id", "address").agg(F.min("own").alias("below"))
     full = at.join(near, ["doc_id", "id"], "left").join(below, ["doc_id", "address"], "left")

@@ -78,14 +78,19 @@ def first_of_groups(groups: DataFrame, terms: list[str]) -> DataFrame:
 
 
 def substring_rank(nodes: DataFrame, needle: str, limit: int) -> DataFrame:
-    """Rows holding the literal (ASCII case ignored): exact address first, then title, text, other; cut to ``limit``."""
+    """``substring_hits`` in order of rank, cut to ``limit``."""
+    return substring_hits(nodes, needle).orderBy("rank", "depth", "address", "id").limit(limit)
+
+
+def substring_hits(nodes: DataFrame, needle: str) -> DataFrame:
+    """Rows holding the literal (ASCII case ignored): doc_id, id, address, depth, rank (0 exact address, 1 title, 2 text, 3 other)."""
     low = needle.lower()
     fields = [ascii_lower(F.coalesce(c, F.lit(""))) for c in ("address", "node_title", "text", "node_note")]
     hit = fields[0].contains(low)
     for f in fields[1:]:
         hit = hit | f.contains(low)
     rank = F.when(F.col("address") == needle, 0).when(fields[1].contains(low), 1).when(fields[2].contains(low), 2).otherwise(3)
-    return nodes.where(hit).select("doc_id", "id", "address", "depth", rank.alias("rank")).orderBy("rank", "depth", "address", "id").limit(limit)
+    return nodes.where(hit).select("doc_id", "id", "address", "depth", rank.alias("rank"))
 
 
 def bm25(nodes: DataFrame, query: str, n: int = 2, k1: float = 1.2, b: float = 0.75) -> DataFrame:

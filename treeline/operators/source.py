@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 BUCKET = 1024
+STRIPE = 1 << 16
+RUN = 256
 
 
 def chunks(docs: DataFrame, size: int = 512, overlap: float = 0.1) -> DataFrame:
@@ -38,14 +40,28 @@ def points_in_spans(points: DataFrame, spans: DataFrame) -> DataFrame:
     return p.join(s, ["doc_id", "bucket"]).where("pos >= start_offset and pos < end_offset").select("doc_id", "pos", "id")
 
 
+def next_of(asked: DataFrame, give: DataFrame) -> DataFrame:
+    """As-of lookup forward, by document: for every (doc_id, at) the ``value`` of the first (doc_id, at, value) not before it:
+    doc_id, at, value (null where there is none). Both sides are distinct in (doc_id, at).
+
+    Positions are cut into runs of ``RUN``: within a run an equi-join finds it, else it is the first of the next run that has any,
+    found by a window over one row a run.
+    """
+    run = F.floor(F.col("at") / F.lit(RUN)).alias("run")
+    a, g = asked.select("doc_id", "at", run), give.select("doc_id", F.col("at").alias("g"), "value", run)
+    same = a.join(g, ["doc_id", "run"]).where("g >= at").groupBy("doc_id", "at").agg(F.min_by("value", "g").alias("same"))
+    firsts = g.groupBy("doc_id", "run").agg(F.min_by("value", "g").alias("first"))
+    runs = a.select("doc_id", "run").unionByName(g.select("doc_id", "run")).distinct().join(firsts, ["doc_id", "run"], "left")
+    behind = Window.partitionBy("doc_id").orderBy("run").rowsBetween(1, Window.unboundedFollowing)
+    later = runs.select("doc_id", "run", F.first("first", ignorenulls=True).over(behind).alias("later"))
+    return a.join(same, ["doc_id", "at"], "left").join(later, ["doc_id", "run"]).select("doc_id", "at", F.coalesce("same", "later").alias("value"))
+
+
 def next_span(asked: DataFrame, spans: DataFrame) -> DataFrame:
-    """As-of lookup forward: for every (doc_id, at) the first span with sentence_index >= at (null where there is none)."""
-    both = asked.select("doc_id", "at", F.lit(0).alias("side"), F.lit(None).cast("int").alias("start_offset")).unionByName(
-        spans.groupBy("doc_id", F.col("sentence_index").alias("at")).agg(F.min("start_offset").alias("start_offset")).select("doc_id", "at", F.lit(1).alias("side"), "start_offset")
-    )
-    ahead = Window.partitionBy("doc_id").orderBy("at", "side").rowsBetween(0, Window.unboundedFollowing)
-    found = F.first("start_offset", ignorenulls=True).over(ahead)
-    return both.select("doc_id", "at", "side", found.alias("found")).where("side = 0").select("doc_id", "at", F.col("found").alias("start_offset"))
+    """For every (doc_id, at) the start of the first span with sentence_index >= at (null where there is none)."""
+    give = spans.where("sentence_index is not null").groupBy("doc_id", F.col("sentence_index").alias("at")).agg(F.min("start_offset").alias("value")).where("value is not null")
+    found = next_of(asked.select("doc_id", "at").distinct(), give)
+    return asked.select("doc_id", "at").join(found, ["doc_id", "at"], "left").withColumnRenamed("value", "start_offset")
 
 
 def source_window(docs: DataFrame, spans: DataFrame, anchors: DataFrame, limit: int = 5000, before: int | None = None) -> DataFrame:
@@ -74,21 +90,37 @@ def run_labels(rows: DataFrame, key: str, value: str) -> DataFrame:
     return runs.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("lo", label.alias("t")))), lambda x: x["t"]), ";").alias("runs"))
 
 
+def _stripe(offset: Column) -> Column:
+    return F.floor(offset / F.lit(STRIPE)).alias("stripe")
+
+
 def merged_ranges(rows: DataFrame, key: str) -> DataFrame:
-    """Overlapping or touching [start_offset, end_offset) ranges of a key merged: key, lo, hi."""
-    order = Window.partitionBy(key).orderBy("start_offset", "end_offset")
-    reach = F.max("end_offset").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    """Overlapping or touching [start_offset, end_offset) ranges of a key merged: key, lo, hi.
+
+    A key is cut into stripes of ``STRIPE`` positions, each ordered on its own; what crosses stripes (the farthest end so far, the
+    number of merged ranges so far) is carried by windows over one row a stripe, so a document with a third of all spans is
+    no single task.
+    """
+    r = rows.where("end_offset > start_offset").select(key, "start_offset", "end_offset", _stripe(F.col("start_offset")))
+    stripes = Window.partitionBy(key).orderBy("stripe").rowsBetween(Window.unboundedPreceding, -1)
+    far = r.groupBy(key, "stripe").agg(F.max("end_offset").alias("far")).select(key, "stripe", F.max("far").over(stripes).alias("so_far"))
+    inside = Window.partitionBy(key, "stripe").orderBy("start_offset", "end_offset")
+    reach = F.greatest("so_far", F.max("end_offset").over(inside.rowsBetween(Window.unboundedPreceding, -1)))
     fresh = F.when(reach.isNull() | (F.col("start_offset") > reach), 1).otherwise(0)
-    island = F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    marked = rows.where("end_offset > start_offset").withColumn("fresh", fresh).withColumn("island", island)
-    return marked.groupBy(key, "island").agg(F.min("start_offset").alias("lo"), F.max("end_offset").alias("hi")).drop("island")
+    marked = r.join(far, [key, "stripe"]).withColumn("fresh", fresh).withColumn("nth", F.sum("fresh").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    base = marked.groupBy(key, "stripe").agg(F.sum("fresh").alias("k")).select(key, "stripe", F.coalesce(F.sum("k").over(stripes), F.lit(0)).alias("base"))
+    placed = marked.join(base, [key, "stripe"]).withColumn("island", F.col("base") + F.col("nth"))
+    return placed.groupBy(key, "island").agg(F.min("start_offset").alias("lo"), F.max("end_offset").alias("hi")).drop("island")
 
 
 def gaps(rows: DataFrame, key: str) -> DataFrame:
     """Uncovered stretches between the ranges of a key: key, lo, hi."""
-    whole = merged_ranges(rows, key)
-    before = F.lag("hi", 1, 0).over(Window.partitionBy(key).orderBy("lo"))
-    return whole.select(key, before.alias("a"), F.col("lo").alias("b")).where("b > a").select(key, F.col("a").alias("lo"), F.col("b").alias("hi"))
+    whole = merged_ranges(rows, key).withColumn("stripe", F.floor(F.col("lo") / F.lit(STRIPE)))
+    stripes = Window.partitionBy(key).orderBy("stripe").rowsBetween(Window.unboundedPreceding, -1)
+    last = whole.groupBy(key, "stripe").agg(F.max("hi").alias("last")).select(key, "stripe", F.max("last").over(stripes).alias("earlier"))
+    before = F.coalesce(F.lag("hi").over(Window.partitionBy(key, "stripe").orderBy("lo")), F.col("earlier"), F.lit(0))
+    seen = whole.join(last, [key, "stripe"]).select(key, before.alias("a"), F.col("lo").alias("b"))
+    return seen.where("b > a").select(key, F.col("a").alias("lo"), F.col("b").alias("hi"))
 
 
 def line_boxes(chars: DataFrame, tolerance: float = 0.5) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from treeline.plans.session import materialize, release
+from treeline.plans.skew import prefix_sums
 
 #: Fields of a node's content, and those a merge decides about.
 CONTENT = ("text", "node_title", "node_note", "node_type", "trust_level")
@@ -65,8 +66,9 @@ def _differs(f: str, a: str = "a", b: str = "b") -> Column:
 def field_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     """Entries between two snapshots: id, field, old, new. '*' for added and deleted rows (their text), one entry per changed
     content field, and '__moved__' (addresses) when the parent changed, or the order did under an unchanged set of siblings."""
-    kids_a = old.groupBy("parent_id").agg(F.sort_array(F.collect_set("id")).alias("sa"))
-    kids_b = new.groupBy("parent_id").agg(F.sort_array(F.collect_set("id")).alias("sb"))
+    # sets of siblings are compared by digests that add up, so no parent's children (nor all roots) meet in one place
+    digest = F.struct(F.count(F.lit(1)), F.bit_xor(F.xxhash64("id")), F.bit_xor(F.xxhash64("id", F.lit(7))))
+    kids_a, kids_b = old.groupBy("parent_id").agg(digest.alias("sa")), new.groupBy("parent_id").agg(digest.alias("sb"))
     key = F.coalesce("parent_id", F.lit("root"))
     same = kids_a.select(key.alias("p"), "sa").join(kids_b.select(key.alias("p"), "sb"), "p").select("p", (F.col("sa") == F.col("sb")).alias("same"))
     both = _pair(old, new, (*MERGED, "sort_order", "address")).withColumn("p", F.coalesce("b.parent_id", F.lit("root"))).join(same, "p", "left")
@@ -87,9 +89,10 @@ def field_diff(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def _common_rank(rows: DataFrame, other: DataFrame) -> DataFrame:
-    """Rank among the siblings that the other side has too."""
-    order = Window.partitionBy("parent_id").orderBy("sort_order", "id")
-    return rows.join(other.select("id"), "id", "left_semi").select("id", F.row_number().over(order).alias("rank"))
+    """Rank among the siblings that the other side has too; very many siblings (as all roots are) are ranked by ranges."""
+    common = rows.join(other.select("id"), "id", "left_semi").select("id", F.coalesce("parent_id", F.lit("\0root")).alias("grp"), "sort_order")
+    ranked = prefix_sums(common, "grp", [F.col("sort_order").asc(), F.col("id").asc()], {"before": F.lit(1).cast("long")})
+    return ranked.select("id", (F.col("before") + 1).alias("rank"))
 
 
 def tree_diff(base: DataFrame, now: DataFrame) -> DataFrame:

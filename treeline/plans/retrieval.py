@@ -70,7 +70,7 @@ def substring_ranked(spark, sf):
 @query("substring_cross_doc", f"{_RANKED}, t AS (SELECT r.*, title FROM r JOIN dc USING (doc_id) ORDER BY rank, title, depth, address, id LIMIT 101) SELECT id, t.title, rank FROM t JOIN dc USING (doc_id) WHERE NOT starts_with(coalesce(path, ''), 'ward/')")  # F5 I9
 def substring_cross_doc(spark, sf):
     docs = corpus_docs(spark, sf).select("doc_id", "title", "path")
-    top = S.substring_rank(corpus_nodes(spark, sf), "archive", 1 << 30).join(docs, "doc_id").orderBy("rank", F.col("title").asc_nulls_last(), "depth", "address", "id").limit(101)
+    top = S.substring_hits(corpus_nodes(spark, sf), "archive").join(docs, "doc_id").orderBy("rank", F.col("title").asc_nulls_last(), "depth", "address", "id").limit(101)
     return top.where(~F.coalesce("path", F.lit("")).startswith("ward/")).select("id", "title", "rank")
 
 
