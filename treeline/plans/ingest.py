@@ -94,10 +94,10 @@ def _paragraphs(docs):
     return docs.select("doc_id", F.filter(flat, lambda p: p != "").alias("texts"))
 
 
-@query("office_records", f"""{_PARAS}, k AS (SELECT unnest(['docx', 'epub', 'xlsx', 'jsonl', 'csv']) AS kind)
-SELECT doc_id || '.' || kind AS path, count(*) AS n, string_agg(p, '|' ORDER BY g.k) AS texts FROM g, k GROUP BY 1""")  # A11 A12 A15 A16 A18 A25
+@query("office_records", f"""{_PARAS}, k AS (SELECT unnest(['docx', 'epub', 'xlsx', 'jsonl', 'csv', 'html']) AS kind)
+SELECT doc_id || '.' || kind AS path, count(*) AS n, string_agg(p, '|' ORDER BY g.k) AS texts FROM g, k GROUP BY 1""")  # A11 A12 A13 A14 A15 A16 A18 A25
 def office_records(spark, sf):
-    """Every document's paragraphs written as DOCX, EPUB, XLSX, JSON lines and CSV, and read again: heading records left out."""
+    """Every document's paragraphs written as DOCX, EPUB, XLSX, JSON lines, CSV and HTML, and read again: heading records left out."""
     from collections.abc import Iterator
 
     import pandas as pd

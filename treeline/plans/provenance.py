@@ -167,7 +167,54 @@ def branch_fold_updates(spark, sf):
     return oplog.fold(corpus_nodes(spark, sf), ops).select("id", "text", "address")
 
 
-@query("axiom_fold")  # L11
+_FOLDED = """, o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, parent_id ORDER BY key, id) AS ord FROM e),
+l1 AS (SELECT id, text, CAST(ord AS varchar) AS address FROM o WHERE parent_id IS NULL), l2 AS (SELECT o.id, o.text, l1.address || '-' || ord AS address FROM o JOIN l1 ON l1.id = o.parent_id),
+l3 AS (SELECT o.id, o.text, l2.address || '-' || ord AS address FROM o JOIN l2 ON l2.id = o.parent_id), l4 AS (SELECT o.id, o.text, l3.address || '-' || ord AS address FROM o JOIN l3 ON l3.id = o.parent_id)
+SELECT * FROM l1 UNION ALL SELECT * FROM l2 UNION ALL SELECT * FROM l3 UNION ALL SELECT * FROM l4"""
+
+
+def _fold_kind(spark, sf, kind: str):
+    return oplog.fold(corpus_nodes(spark, sf), _ops(spark, sf).where(F.col("kind") == kind)).select("id", "text", "address")
+
+
+@query("fold_inserts", f""", e AS (SELECT doc_id, id, parent_id, sort_order AS key, text FROM n UNION ALL SELECT doc_id, id || 'n', doc_id || ':1', sort_order + 0.5, 'new' FROM n WHERE depth = 2 AND sort_order % 7 = 1){_FOLDED}""")  # L2
+def fold_inserts(spark, sf):
+    return _fold_kind(spark, sf, "node.insert")
+
+
+@query("fold_moves", f""", e AS (SELECT doc_id, id, parent_id, CASE WHEN depth = 2 AND sort_order % 6 = 3 THEN sort_order - 1.5 ELSE sort_order END AS key, text FROM n){_FOLDED}""")  # L4
+def fold_moves(spark, sf):
+    return _fold_kind(spark, sf, "node.moveBefore")
+
+
+@query("fold_reparents", f""", e AS (SELECT doc_id, id, CASE WHEN depth = 2 AND sort_order % 11 = 7 THEN doc_id || ':1-' || (sort_order - 1) ELSE parent_id END AS parent_id, CASE WHEN depth = 2 AND sort_order % 11 = 7 THEN 1000000 ELSE sort_order END AS key, text FROM n){_FOLDED}""")  # L5
+def fold_reparents(spark, sf):
+    return _fold_kind(spark, sf, "node.reparent")
+
+
+@query("fold_promotes", f""", e AS (SELECT c.doc_id, c.id, CASE WHEN u.id IS NOT NULL THEN u.parent_id ELSE c.parent_id END AS parent_id, CASE WHEN u.id IS NOT NULL THEN u.sort_order + 0.5 ELSE c.sort_order END AS key, c.text
+FROM n c LEFT JOIN n u ON c.depth = 3 AND c.sort_order = 1 AND u.id = c.parent_id AND u.sort_order % 13 = 5){_FOLDED}""")  # L6
+def fold_promotes(spark, sf):
+    return _fold_kind(spark, sf, "node.promote")
+
+
+@query("fold_splits", f""", e AS (SELECT doc_id, id, parent_id, CAST(sort_order AS double) AS key, CASE WHEN depth = 2 AND sort_order % 8 = 2 THEN 'one.' ELSE text END AS text FROM n UNION ALL SELECT doc_id, id || 's', id, 0.0, 'two.' FROM n WHERE depth = 2 AND sort_order % 8 = 2){_FOLDED}""")  # L7
+def fold_splits(spark, sf):
+    return _fold_kind(spark, sf, "node.split")
+
+
+_STRIP = "nullif(regexp_replace(regexp_replace({}, '^[\\s\\x{{85}}\\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}\\x{{1C}}-\\x{{1F}}]+', ''), '[\\s\\x{{85}}\\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}\\x{{1C}}-\\x{{1F}}]+$', ''), '')"
+
+
+@query("fold_merges", f""", g AS (SELECT a.id AS into_id, b.id AS gone, b.text AS t FROM n b JOIN n a ON a.doc_id = b.doc_id AND a.depth = 2 AND a.sort_order = b.sort_order - 1 WHERE b.depth = 2 AND b.sort_order % 9 = 4),
+e AS (SELECT n.doc_id, n.id, coalesce(h.into_id, n.parent_id) AS parent_id, CASE WHEN h.into_id IS NOT NULL THEN 1000000 + n.sort_order ELSE n.sort_order END AS key, CASE WHEN g.into_id IS NOT NULL THEN concat_ws(chr(10) || chr(10), {_STRIP.format('n.text')}, {_STRIP.format('g.t')}) ELSE n.text END AS text
+FROM n LEFT JOIN g ON g.into_id = n.id LEFT JOIN g h ON h.gone = n.parent_id WHERE n.id NOT IN (SELECT gone FROM g)){_FOLDED}""")  # L8
+def fold_merges(spark, sf):
+    return _fold_kind(spark, sf, "node.mergePrevious")
+
+
+@query("axiom_fold", """WITH a AS (SELECT DISTINCT ON (id) doc_id, id, label, content, status FROM axioms ORDER BY id), t AS (SELECT DISTINCT doc_id FROM a WHERE label = 'A1'), k AS (SELECT a.*, CASE WHEN regexp_full_match(coalesce(label, ''), 'A[0-9]+') THEN CAST(label[2:] AS bigint) ELSE 0 END AS num FROM a WHERE doc_id IN (SELECT doc_id FROM t) AND label IS DISTINCT FROM 'A1')
+SELECT doc_id, id, 'A' || row_number() OVER (PARTITION BY doc_id ORDER BY num, id) AS label, content, status FROM k UNION ALL SELECT doc_id, id, label, content, status FROM a WHERE doc_id NOT IN (SELECT doc_id FROM t) OR doc_id IS NULL""")  # L11
 def axiom_fold(spark, sf):
     a = table(spark, sf, "axioms").dropDuplicates(["id"])
     gone = a.where("label = 'A1'").select("doc_id", F.lit(1).alias("seq"), F.lit("axiom.delete").alias("kind"), F.to_json(F.struct(F.col("id").alias("axiom"))).alias("entry"))

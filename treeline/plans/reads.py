@@ -228,7 +228,8 @@ def markdown_export(spark, sf):
     return T.markdown_export(_n(spark, sf))
 
 
-@query("ascii_tree")  # A36
+@query("ascii_tree", f""", c AS (SELECT parent_id AS id, count(*) AS k FROM n GROUP BY 1), f AS (SELECT n.*, coalesce(k, 0) AS k, regexp_replace(coalesce(nullif(node_title, ''), text), '[\\t-\\r ]+', ' ', 'g') AS flat, {_KEY} AS key FROM n LEFT JOIN c ON c.id = n.id)
+SELECT doc_id, string_agg(repeat('  ', depth - 1) || '- ' || address || ' ' || CASE WHEN length(flat) > 60 THEN left(flat, 59) || '…' ELSE flat END || ' [children=' || k || ']', chr(10) ORDER BY key) AS listing FROM f GROUP BY 1""")  # A36
 def ascii_tree(spark, sf):
     return T.ascii_tree(_n(spark, sf))
 

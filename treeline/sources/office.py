@@ -64,7 +64,13 @@ def sheet(texts: list[str]) -> bytes:
     return "\n".join(["no,text", *('{},"{}"'.format(i, t.replace('"', '""')) for i, t in enumerate(texts, 1))]).encode()
 
 
+def page(title: str, texts: list[str]) -> bytes:
+    """A heading and a paragraph a text."""
+    return (f"<html><head><title>{_xml(title)}</title></head><body><h1>{_xml(title)}</h1>" + "".join(f"<p>{_xml(t)}</p>" for t in texts) + "</body></html>").encode()
+
+
 WRITERS = {
-    "docx": lambda title, texts: docx(title, texts), "epub": lambda title, texts: epub(title, texts), "xlsx": lambda title, texts: xlsx(texts),
+    "docx": docx, "epub": epub, "xlsx": lambda title, texts: xlsx(texts),
     "jsonl": lambda title, texts: transcript(texts), "csv": lambda title, texts: sheet(texts),
+    "html": page,
 }
