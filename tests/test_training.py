@@ -7,7 +7,7 @@ import pytest
 from treeline.operators import snapshots
 from treeline.operators.hierarchy import descendants, hierarchy, misplaced
 from treeline.operators.orphans import orphan_references
-from treeline.operators.snapshots import changed_keys, digests, field_values, peel, snapshot_changes
+from treeline.operators.snapshots import changed_keys, digests, elements, field_values, peel, snapshot_changes
 from treeline.plans.session import materialize
 from treeline.plans.skew import lookup, prefix_sums
 from pyspark.sql import functions as F
@@ -107,7 +107,7 @@ def test_failed_buckets_are_enlarged(spark, monkeypatch):
     built = []
     original = snapshots.build_tables
     monkeypatch.setattr(snapshots, "build_tables", lambda r, m, s: built.append(m) or original(r, m, s))
-    keys = changed_keys(materialize(digests(base)), cells=4)
+    keys = changed_keys(elements(materialize(digests(base))), cells=4)
     flags = sorted((r.in_old, r.in_new) for r in keys.collect())
     assert len(built) > 1 and built[1] == 16
     assert flags.count((True, False)) == 50 and flags.count((False, True)) == 60 and flags.count((True, True)) == 325

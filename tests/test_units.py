@@ -208,6 +208,21 @@ def test_streams(spark, tmp_path):
     assert sorted(r.n for r in sessions.collect()) == [1, 2]
 
 
+def test_appended_ordinals_continue(spark, tmp_path):
+    from treeline.streaming.volumes import start_append
+
+    schema = "idempotency_key string, ts timestamp, parent_id string, seq long, text string"
+    for turn, rows in enumerate(([("a", "p", 1), ("b", "p", 2), ("c", "q", 3)], [("d", "p", 4), ("e", "r", 5), ("f", "p", 6)])):
+        from datetime import datetime
+
+        df = spark.createDataFrame([(k, datetime(2024, 1, 1, turn, i), p, s, k) for i, (k, p, s) in enumerate(rows)], schema)
+        df.coalesce(1).write.parquet(str(tmp_path / f"in/{turn}"))
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+        start_append(stream, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    got = {r.text: r.sort_order for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {"a": 1, "b": 2, "c": 1, "d": 3, "e": 1, "f": 4}
+
+
 def test_late_pushes_stay_until_the_seal(spark, tmp_path):
     schema = "user_id string, ts timestamp"
     day = datetime(2024, 1, 1)

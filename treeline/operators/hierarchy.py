@@ -24,6 +24,7 @@ from treeline.plans.session import materialize, release
 from treeline.plans.skew import hot_limit, lookup, prefix_sums
 
 STATES = ("ok", "detached", "cycle")
+BLOCK = 1 << 16
 
 
 def node_links(nodes: DataFrame, deletions: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -141,7 +142,8 @@ def hierarchy(links: DataFrame, with_path: bool = True, hot_rows: int | None = N
 def descendants(tree: DataFrame, fan: int = 16) -> DataFrame:
     """All (ancestor_id, descendant_id, distance) pairs, read off the nested-set ranges.
 
-    A range is cut into aligned blocks of ``fan``^j positions (at most 2*fan blocks a level); a position looks up the
+    A range is cut into aligned blocks of ``fan``^j positions (at most 2*fan blocks a level, and of at most ``BLOCK`` positions, so
+    that no block is more than a small part of a task, however large the tree); a position looks up the
     block it lies in at each level that occurs. That makes the range condition an equi-join whose groups are single
     blocks: no comparison of all pairs. The output has one row per true pair.
     """
@@ -150,7 +152,7 @@ def descendants(tree: DataFrame, fan: int = 16) -> DataFrame:
     )
     widest = inner.agg(F.max(F.col("hi") - F.col("lo") + 1)).first()[0] or 1
     top = 0
-    while fan ** (top + 1) <= widest:
+    while fan ** (top + 1) <= min(widest, BLOCK):
         top += 1
     parts = []
 

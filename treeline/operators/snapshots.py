@@ -65,19 +65,21 @@ def digests(snapshots: DataFrame) -> DataFrame:
     rows = snapshots.where(F.col("doc_id").isNotNull() & F.col("snapshot_no").isNotNull() & F.col("id").isNotNull())
     steps = materialize(snapshot_steps(rows), "steps")
     thin = rows.select(
-        "doc_id", "snapshot_no", "id", F.xxhash64("id").alias("k1"), F.xxhash64("id", F.lit("second")).alias("k2"),
+        "doc_id", "snapshot_no", "id", F.xxhash64("id").alias("k1"),
         F.struct(F.col("loaded_at").alias("at"), *[_digest(f).alias(f) for f in FIELDS]).alias("row"), _step_key().alias("skey"),
     )
     placed = lookup(thin, steps, "skey").withColumn("bucket", F.pmod(F.col("k1"), F.col("buckets").cast("long")).cast("int"))
     last = (
-        placed.repartition(F.col("doc_id"), F.col("bucket"))
-        .groupBy("doc_id", "bucket", "snapshot_no", "prev_no", "next_no", "id", "k1", "k2")
+        placed.drop("k1").repartition(F.col("doc_id"), F.col("bucket"))
+        .groupBy("doc_id", "bucket", "snapshot_no", "prev_no", "next_no", "id")
         .agg(F.max("row").alias("row"))
     )
-    return last.select(
-        "doc_id", "bucket", "snapshot_no", "prev_no", "next_no", "id", "k1", "k2",
-        F.xxhash64(*[F.col(f"row.{f}") for f in FIELDS]).alias("v"), *[F.col(f"row.{f}").alias(f) for f in FIELDS],
-    )
+    return last.select("doc_id", "bucket", "snapshot_no", "prev_no", "next_no", "id", *[F.col(f"row.{f}").alias(f) for f in FIELDS])
+
+
+def elements(digested: DataFrame) -> DataFrame:
+    """Digested rows with both key hashes and the value hash, which are derived and need not be stored."""
+    return digested.withColumns({"k1": F.xxhash64("id"), "k2": F.xxhash64("id", F.lit("second")), "v": F.xxhash64(*FIELDS)})
 
 
 def build_tables(rows: DataFrame, cells: int, seed: int) -> DataFrame:
@@ -190,7 +192,7 @@ def snapshot_changes(snapshots: DataFrame) -> DataFrame:
     """Cases between consecutive snapshots: doc_id, snapshot_no (the later), node_id, diff_kind ('added',
     'removed' or the changed field). The first snapshot of a document gives none; gaps in the numbers are skipped;
     deliveries out of order and repeated rows do not matter. An empty table gives an empty result."""
-    rows = materialize(digests(snapshots), "digests")
+    rows = elements(materialize(digests(snapshots), "digests"))
     keys = changed_keys(rows)
     sides = rows.select("doc_id", "bucket", "k1", "k2", "id", "snapshot_no", "next_no", F.struct(*FIELDS).alias("f"))
     both = sides.withColumn(

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import os
 import re
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -47,6 +48,7 @@ def ship(spark: SparkSession) -> None:
         for p in sorted(root.rglob("*.py")):
             z.write(p, p.relative_to(root.parent))
     sc.addPyFile(str(to))
+    atexit.register(shutil.rmtree, to.parent, True)
     sc._treeline_shipped = True
 
 

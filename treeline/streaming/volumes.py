@@ -55,11 +55,32 @@ def contiguity_errors(pushed: DataFrame, existing: DataFrame) -> DataFrame:
     return checked.select("batch_id", "address", error.alias("error")).where("error is not null")
 
 
+def with_ordinals(batch: DataFrame, stored: DataFrame | None) -> DataFrame:
+    """Pushes (parent_id, seq, ...) with ``sort_order`` behind the greatest stored one of their parent, in the order of seq."""
+    nth = F.row_number().over(Window.partitionBy("parent_id").orderBy("seq"))
+    if stored is None:
+        return batch.withColumn("sort_order", nth)
+    last = stored.groupBy("parent_id").agg(F.max("sort_order").alias("_last"))
+    return batch.join(last, "parent_id", "left").withColumn("sort_order", F.coalesce("_last", F.lit(0)) + nth).drop("_last")
+
+
 def start_append(stream: DataFrame, path: str, checkpoint: str):
-    """Append a stream of pushes to a table: within a micro-batch and its memory repeats are dropped, ordinals continue the
-    stored ones (batches replay safely: a batch is written under its own id)."""
+    """Append a stream of pushes to a table. Within the memory repeats are dropped; pushes that have parent_id and seq get ordinals
+    that continue those of earlier batches. A batch is written under its own id and looks at earlier ones only, so it replays safely.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        rows = batch
+        if {"parent_id", "seq"} <= set(batch.columns):
+            stored = None
+            if batch_id > 0:
+                spark = batch.sparkSession
+                earlier = [f"{path}/batch={k}" for k in range(batch_id)]
+                fs_path = spark._jvm.org.apache.hadoop.fs.Path
+                fs = fs_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+                have = [p for p in earlier if fs.exists(fs_path(p))]
+                stored = spark.read.parquet(*have).select("parent_id", "sort_order") if have else None
+            rows = with_ordinals(batch, stored)
+        rows.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return deduplicated(stream).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
