@@ -113,6 +113,13 @@ def test_thai_spaces_are_decided_by_the_model():
     assert cut(text, never) == [text] and len(cut(text, Model([{}] * 4, [{}, {}], [{}, {}]))) == 3
 
 
+def test_odd_right_contexts():
+    from treeline.llm.boundaries import first_word
+
+    assert first_word("((•" + " " * 40 + "x", 0) == ("((•", "(o") and first_word("3 days.", 0) == ("0 days", "0")
+    assert first_word("!", 0) == ("!", "sym") and first_word("“Ab12, x", 0) == ("“Ab0", "“U")
+
+
 def test_sentence_marks_of_further_scripts():
     m = Model([{}] * 4, [{}, {}], [{}, {}])
     for mark in "။។።։།":

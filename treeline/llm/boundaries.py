@@ -149,22 +149,21 @@ def _shape(word: str) -> str:
 
 def first_word(unit: str, n: int) -> tuple[str, str]:
     """Right context at ``n``: first word (two characters where words are not spaced) and its class."""
-    c = unit[n]
-    k = n
-    while k < len(unit) and k < n + 3 and not unit[k].isalnum():
+    k, size = n, len(unit)
+    while k < size and k < n + 3 and not unit[k].isalnum():
         k += 1
-    lead = unit[n:k].strip()
-    head = unit[k : k + 24]
-    if not head:
-        return lead or c, "sym"
-    d = head[0]
-    if _CJK.match(d):
-        word, kind = head[:2], "C"
-    else:
-        words = head.split(None, 2)
-        word = _DIGITS.sub("0", " ".join(words[: 1 + d.isdigit()]).rstrip(",;:.!?"))
-        kind = "0" if d.isdigit() else "U" if d.isupper() else "l" if d.islower() else "o"
-    return lead + word, (lead[:1] or "") + kind
+    lead = unit[n:k].strip() if k > n else ""
+    d = unit[k : k + 1]
+    if not d:
+        return lead or unit[n], "sym"
+    if d > "\u2fff" and _CJK.match(d):
+        return lead + unit[k : k + 2], (lead[:1] or "") + "C"
+    number = d.isdigit()
+    words = unit[k : k + 24].split(None, 2)
+    word = " ".join(words[: 1 + number]).rstrip(",;:.!?")
+    if number or not word.isalpha():
+        word = _DIGITS.sub("0", word)
+    return lead + word, (lead[:1] or "") + ("0" if number else "U" if d.isupper() else "l" if d.islower() else "o")
 
 
 def word_key(token: str) -> str:
@@ -201,12 +200,14 @@ def _context(unit: str, begin: int, s: int, closer: str) -> tuple[str, str, bool
     """Last word and last two words before ``s``, and whether nothing else stands since ``begin``."""
     left = unit[max(begin, s - 48) : s].rstrip(" \u00a0\u202f") if s > begin else ""
     last = left[-1:]
-    if _CJK.match(last or " ") or (left and not closer and last in "”」』）》】"):
+    if last > "\u2fff" and _CJK.match(last) or (left and not closer and last in "”」』）》】"):
         w1, w2, alone = left[-2:], left[-4:], s - begin <= 3
     else:
         words = left.rsplit(None, 2)
         w1, w2, alone = words[-1] if words else "", " ".join(words[-2:]), len(words) <= 1
-    return _DIGITS.sub("0", w1)[-20:], _DIGITS.sub("0", w2)[-32:], alone
+    if _DIGITS.search(left):
+        w1, w2 = _DIGITS.sub("0", w1), _DIGITS.sub("0", w2)
+    return w1[-20:], w2[-32:], alone
 
 
 def gaps(text: str, a: int, b: int, body: int, ascii_marks: bool = True, thai: bool | None = None, emoji: bool | None = None) -> tuple[list[Gap], bool, tuple | None]:

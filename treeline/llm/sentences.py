@@ -122,15 +122,17 @@ class Model:
 
     def posteriors(self, found: list, final: tuple | None = None) -> list[float]:
         """Forward-backward over the gaps of one unit; state: is the gap a boundary. ``final``: keys of the unit's sure end."""
+        chained = final is not None and final[3] == 2 or any(g.first == 2 for g in found)
+        if not chained:  # no gap depends on another: forward times backward is each gap's own odds
+            out = []
+            for g in found:
+                p, s, q = self.parts(g.keys, g.first)
+                out.append(p * s / (p * s + (1 - p) * q))
+            return out
         steps = []  # P(boundary | none before), P(boundary | one before), the right word's likelihoods
-        chained = final is not None and final[3] == 2
         for g in found:
             p0, s, q = self.parts(g.keys, int(g.first == 1))
-            chain = g.first == 2
-            chained = chained or chain
-            steps.append((p0, self.closing(*g.keys[:3], g.keys[4], 1) if chain else p0, s, q))
-        if not chained:  # no gap depends on another: forward times backward is each gap's own odds
-            return [p * s / (p * s + (1 - p) * q) for p, _, s, q in steps]
+            steps.append((p0, self.closing(*g.keys[:3], g.keys[4], 1) if g.first == 2 else p0, s, q))
         yes, no, forward = 0.0, 1.0, []
         for p0, p1, s, q in steps:
             yes, no = (yes * p1 + no * p0) * s, (yes * (1 - p1) + no * (1 - p0)) * q
