@@ -71,8 +71,9 @@ class Trees:
         return score
 
 
-def isotonic(score: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool adjacent violators: knots (score, probability) of the non-decreasing fit."""
+def isotonic(score: np.ndarray, y: np.ndarray, w: np.ndarray, prior: float = 2.0) -> tuple[np.ndarray, np.ndarray]:
+    """Pool adjacent violators: knots (score, probability) of the non-decreasing fit. Each pool is drawn to the mean by ``prior``
+    weight, so that one or two observations alone decide nothing."""
     order = np.argsort(score, kind="stable")
     blocks: list[list[float]] = []
     for s, v, k in zip(score[order], y[order], w[order]):
@@ -83,5 +84,6 @@ def isotonic(score: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarra
             blocks[-1][2] += a
             blocks[-1][3] += b
     xs = np.array([x for lo, hi, _, _ in blocks for x in (lo, hi)])
-    ys = np.array([a / b for _, _, a, b in blocks for _ in (0, 1)])
-    return xs, ys
+    mean = float(np.average(y, weights=w))
+    ys = np.array([(a + prior * mean) / (b + prior) for _, _, a, b in blocks for _ in (0, 1)])
+    return xs, np.maximum.accumulate(ys)
